@@ -385,7 +385,6 @@ def split_sentences(items: DataFrame) -> DataFrame:
     return pairs.select("item_table", "item_id", F.col("u.starts").cast("long").alias("start_char"), F.col("u.ends").cast("long").alias("end_char"))
 
 
-def chunk_body(document: F.Column) -> F.Column:
-    """The body of a chunk's ``document``: what follows the breadcrumb line, or all if there is none."""
-    has = document.startswith("[") & (F.instr(document, "\n") > 0)
-    return F.when(has, F.expr(f"substring({document._jc.toString()}, instr({document._jc.toString()}, '\\n') + 1)")).otherwise(document)
+def chunk_body(column: str) -> F.Column:
+    """The body of a chunk's document: what follows the breadcrumb line, or all if there is none."""
+    return F.expr(f"case when startswith({column}, '[') and instr({column}, '\\n') > 0 then substring({column}, instr({column}, '\\n') + 1) else {column} end")

@@ -8,8 +8,7 @@ are cut into pre-tokens by the vocabulary's pattern, each distinct pre-token is
 encoded by the model once per worker, and decoding maps ids back to bytes.
 
 Defined cases: null and empty texts give an empty list; strings that look like
-special tokens are ordinary text; lone surrogates become U+FFFD; whole texts are
-encoded at any length.  Repeated rows give repeated results.
+special tokens are ordinary text; whole texts are encoded at any length.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
