@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sentences import sentence_spans
+from .sentences import sentence_ends
 
 CHARS_PER_TOKEN = 4
 KINDS = ("paragraph", "line", "sentence", "word")
@@ -70,7 +70,7 @@ def boundaries(text: str, limit: int) -> tuple[str, list[tuple[int, int]]]:
         elif name == "line":
             found = [m.end() for m in _BREAK.finditer(text)]
         elif name == "sentence":
-            found = [b for _, b in sentence_spans(text)]
+            found = sentence_ends(text)
         else:
             found = [m.end() for m in _SPACE.finditer(text)]
         for p in found:

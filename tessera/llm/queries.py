@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import use_shared_folder
 from ..sources.tables import table
-from . import chunking, mixture, percentiles, sentences, tokenization
+from . import chunking, mixture, pairs, percentiles, sentences, tokenization
 
 SHARES = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
 
@@ -51,6 +51,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("item_table", "item_id", F.size("pieces").alias("n_pieces"), F.explode("pieces").alias("p")).select("item_table", "item_id", "n_pieces", "p.*")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective question and answer pairs with their defect."""
+    use_shared_folder(spark)
+    golden = table(spark, d, "golden").where(F.col("expected").isNull() & F.col("expected_behavior").isNull())
+    cached = table(spark, d, "cached_answers").where(F.coalesce(F.col("intent") != "OUT_OF_SCOPE", F.lit(True)))
+    golden = golden.select(F.lit("golden").alias("pair_table"), F.col("id").alias("pair_id"), "question", F.col("reference_answer").alias("answer"))
+    cached = cached.select(F.lit("cached_answers").alias("pair_table"), F.col("entry_id").alias("pair_id"), "question", "answer")
+    return pairs.broken_pairs(golden.unionByName(cached))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units of all documents and text chunk bodies."""
     documents = table(spark, d, "documents").select(F.lit("documents").alias("item_table"), F.col("doc_id").cast("string").alias("item_id"), "text")
@@ -88,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_percentiles": p1_percentiles,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,

@@ -5,11 +5,10 @@ The splitter works in two layers.
 * Layout: lines are grouped into paragraphs; headings, speaker lines, list
   items and table rows are units of their own, other line breaks are ignored.
 * Prose: a semi-Markov dynamic programme chooses whole spans between candidate
-  cuts.  The score of a span adds up its length, the word that opens it, the
-  word and mark that close it, and whether its quotes and brackets balance.
-  Spans are scored jointly, so a cut inside a quotation loses against the span
-  that holds the whole quotation, and a doubtful cut is taken only where both
-  neighbours gain.
+  cuts.  The score of a span adds up its length, the word that opens it and the
+  word and mark that close it; a span that would hold half a quotation or bracket
+  is not feasible.  Spans are scored jointly, so a doubtful cut is taken only
+  where the spans on both sides gain.
 
 Defined cases: null, empty and blank texts (also texts made only of invisible
 format characters) have no units; repeated rows of one item give its units
@@ -226,34 +225,32 @@ def _cuts(text: str, s: int, e: int, closing: set[int]) -> list[tuple[int, float
     return out
 
 
-#: Spans reach back over at most this many candidate cuts that are not plainly cuts.
-LOOK_BACK = 24
+#: Cuts at or below this score are never worth a span of their own, whatever its other scores.
+NEVER = -5.0
+#: Spans reach back over this many remaining cuts; the score of a longer span could not be the best.
+LOOK_BACK = 200
 
 
 def _prose(text: str, s: int, e: int, out: list[tuple[int, int]]) -> None:
     """Best segmentation of one prose segment into whole spans (Viterbi over spans)."""
     quoted = _quoted(text, s, e)
     cuts = _cuts(text, s, e, {b for _, b in quoted})
-    if not cuts:
-        out.append((s, e))
-        return
-    ends = [s]
-    gain = [0.0]
-    depth = [0]
-    k = 0
+    ends, gain, k = [s], [0.0], 0
     for p, score in cuts:
+        if score <= NEVER:
+            continue
         while k < len(quoted) and quoted[k][1] < p:
             k += 1
-        inside = k < len(quoted) and quoted[k][0] < p
-        if inside and score <= 0:
+        if k < len(quoted) and quoted[k][0] < p:  # both spans would hold half a quotation or bracket
             continue
         ends.append(p)
         gain.append(score)
-        depth.append(quoted[k][0] + 1 if inside else 0)
     ends.append(e)
     gain.append(0.0)
-    depth.append(0)
     n = len(ends)
+    if n == 2:
+        out.append((s, e))
+        return
     best = [0.0] * n
     back = [0] * n
     for j in range(1, n):
@@ -261,16 +258,14 @@ def _prose(text: str, s: int, e: int, out: list[tuple[int, int]]) -> None:
         for i in range(j - 1, max(-1, j - 1 - LOOK_BACK), -1):
             length = ends[j] - ends[i]
             score = best[i] + gain[j]
-            if depth[i] != depth[j]:  # a quotation or bracket would be broken
-                score -= 60.0
-            elif depth[j]:
-                score -= 40.0
             if length < 3:
                 score -= 8.0
             elif length > 1200:
                 score -= 0.5
             if score > top:
                 top, arg = score, i
+            if length > 1200 and i < j - 4:
+                break
         best[j], back[j] = top, arg
     path = []
     j = n - 1
@@ -290,8 +285,11 @@ def _prose(text: str, s: int, e: int, out: list[tuple[int, int]]) -> None:
         begin = b
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
-    """Sentence units of one text as (start, end) in code points, in order."""
+def sentence_spans(text: str | None, prose_only: bool = False) -> list[tuple[int, int]]:
+    """Sentence units of one text as (start, end) in code points, in order.
+
+    With ``prose_only`` headings, speaker lines, list items and table rows are left out.
+    """
     if not text:
         return []
     paragraphs: list[list[tuple[int, int]]] = []
@@ -316,11 +314,14 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     if lines:
         paragraphs.append(lines)
     out: list[tuple[int, int]] = []
+    layout: list[tuple[int, int]] = [] if prose_only else out
     for lines in paragraphs:
         if len(lines) == 1:
             a, b = lines[0]
-            if text[a] == "|" or b - a <= 90 and not text[a:b].endswith(_ENDS) and not _STRONG.search(text, a, b) and not _HAS_THAI.search(text, a, b):
-                out.append((a, b))
+            thai = _HAS_THAI.search(text, a, b)
+            bare = b - a <= 90 and not text[a:b].endswith(_ENDS) and not _STRONG.search(text, a, b)
+            if text[a] == "|" or bare and (not thai or b - a <= 24 and text[a:b].isalpha() or prose_only and b - a <= 24 and not any(c.isdigit() for c in text[a:b]) and " " not in text[a:b]) or _BULLET.match(text, a, b) and prose_only:
+                layout.append((a, b))
             else:
                 _prose(text, a, b, out)
             continue
@@ -328,7 +329,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         if not text[lines[0][0] : lines[0][1]].endswith(_ENDS) and lines[0][1] - lines[0][0] <= 60 and text[lines[0][0]] != "|":
             a, b = lines[0]
             if _SPEAKER.match(text, a, b) and _opening(text, lines[1][0], lines[1][1]) != "lower":
-                out.append((a, b))
+                layout.append((a, b))
                 k = 1
         begin = -1
         stop = 0
@@ -338,14 +339,14 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                 if begin >= 0:
                     _prose(text, begin, stop, out)
                     begin = -1
-                out.append((a, b))
+                layout.append((a, b))
                 items = False
             elif (items or k == 0 or text[lines[k - 1][1] - 1] in ":：") and _BULLET.match(text, a, b) and (text[a] in "-*•·▪◦‣–—" or items or k > 0 or _BULLET.match(text, *lines[1])):
                 if begin >= 0:
                     if not items and text[stop - 1] in ":：" and text.count("\n", begin, stop) == 0:
-                        out.append((begin, stop))
+                        layout.append((begin, stop))
                     elif items:
-                        out.append((begin, stop))
+                        layout.append((begin, stop))
                     else:
                         _prose(text, begin, stop, out)
                 begin, stop, items = a, b, True
@@ -356,12 +357,31 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
             k += 1
         if begin >= 0:
             if items:
-                out.append((begin, stop))
+                layout.append((begin, stop))
             else:
                 _prose(text, begin, stop, out)
     return [u for u in out if _VISIBLE.search(text, *u)]
 
 
+def sentence_ends(text: str) -> list[int]:
+    """Ends of the sentences of one text wherever they stand, in list items and table cells too."""
+    out: list[tuple[int, int]] = []
+    begin = stop = -1
+    for m in _LINE.finditer(text):
+        a, b = m.span()
+        row = text[a:b].lstrip().startswith("|")
+        if begin >= 0 and (row or text.count("\n", stop, a) > 1 or not text[a:b].strip()):
+            _prose(text, begin, stop, out)
+            begin = -1
+        if row:
+            _prose(text, a, b, out)
+        elif text[a:b].strip():
+            begin, stop = (a if begin < 0 else begin), b
+    if begin >= 0:
+        _prose(text, begin, stop, out)
+    return [b for _, b in out]
+
+
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         starts, ends = [], []
