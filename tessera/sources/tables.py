@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of ``folder``, a Parquet file or a folder of files."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
