@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import use_shared_folder
 from ..sources.tables import table
-from . import chunking, mixture, pairs, percentiles, sentences, tokenization
+from . import chunking, mixture, pairs, percentiles, sentences, subjects, tokenization
 
 SHARES = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
 
@@ -92,6 +92,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.mix(_p7_sizes(spark, d), targets), targets)
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their subject areas with the share of sentences that deal with them."""
+    use_shared_folder(spark)
+    return subjects.subjects_of(spark, table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their subject areas."""
+    return p8_shares(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters of the corpus by subject; documents without any count under null."""
+    documents = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    return documents.join(p8_found(spark, d), "doc_id", "left").groupBy("subject").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_sketches": p1_sketches,
     "p1_daily": p1_daily,
@@ -103,4 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+    "p8_composition": p8_composition,
 }
