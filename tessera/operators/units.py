@@ -23,6 +23,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import use_shared_folder
+
 # --- fixed values: units, their dimension, size in base units, and spellings (lower case) -------------
 UNITS: dict[str, tuple[str, float, str]] = {
     "usd": ("money", 1.0, "usd|us$|dollars|whole us dollars|us dollars|in dollars"),
@@ -142,23 +144,27 @@ class UnitForest:
         if self.model is None:
             return prepared.withColumn("predicted", F.lit(None).cast("string")).withColumn("confidence", F.lit(0.0))
         seen = self.model.transform(prepared.withColumn("features", array_to_vector(_features(F.col("value"), F.col("phrase")))))
-        sure = F.array_max(vector_to_array("probability"))
+        seen = seen.withColumn("sure", F.array_max(vector_to_array("probability")))
+        sure = F.col("sure")
         if self.curve is not None:
-            at, out = [float(x) for x in self.curve.boundaries], [float(x) for x in self.curve.predictions]
-            curve = F.lit(out[0])
-            for x, y in zip(at, out):
-                curve = F.when(sure >= x, F.lit(y)).otherwise(curve) if x > at[0] else curve
-            sure = curve
+            at: dict[float, float] = {}
+            for x, y in zip(self.curve.boundaries, self.curve.predictions):
+                at.setdefault(float(y), float(x))  # where the curve first reaches y
+            reached = F.size(F.filter(F.array(*[F.lit(x) for x in at.values()]), lambda x: x <= sure))
+            sure = F.get(F.array(*[F.lit(y) for y in at]), F.greatest(reached - 1, F.lit(0)))
         names = F.array(*[F.lit(n) for n in NAMES])
         picked = F.element_at(names, F.col("prediction").cast("int") + 1)
-        return seen.withColumn("predicted", picked).withColumn("confidence", sure).drop("features", "rawPrediction", "probability", "prediction")
+        return seen.withColumn("predicted", picked).withColumn("confidence", sure).drop("features", "rawPrediction", "probability", "prediction", "sure")
 
 
 def resolve(items: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The unit of every value: ``resolved``, how it was found (``by``: recorded, text, forest or review)."""
+    use_shared_folder(items.sparkSession)
     ready = prepare(items)
     known = ready.where(F.col("recorded").isNotNull())
-    missing = UnitForest(known, sample_rows).predict(ready.where(F.col("recorded").isNull()))
+    # The phrase and the forest's votes are each used in many places: written once, not computed again for each.
+    asked = ready.where(F.col("recorded").isNull()).checkpoint()
+    missing = UnitForest(known, sample_rows).predict(asked).checkpoint()
     sure = (F.col("confidence") >= CONFIDENT) & F.col("predicted").isNotNull()
     by = F.when(sure & (F.col("spelt").isNull() | (F.col("spelt") == F.col("predicted"))), "forest").when(F.col("spelt").isNotNull(), "text").otherwise("review")
     unit = F.when(by == "forest", F.col("predicted")).when(by == "text", F.col("spelt"))
