@@ -34,7 +34,7 @@ raw as (select doc_id, unnest(regexp_extract_all(lower(text), '{X.TOKEN.replace(
 forms as (
   select doc_id, unnest(case
     when regexp_matches(tok, '{X.NUMBER}') then case when replace(tok, ',', '') like '$%' then [replace(tok, ',', ''), substr(replace(tok, ',', ''), 2)] else [replace(tok, ',', '')] end
-    when regexp_matches(tok, '[-'']') then list_concat([tok], list_filter(regexp_split_to_array(tok, '[-'']'), x -> x <> ''))
+    when regexp_matches(tok, '[-'']') then list_concat([tok], [w for w in regexp_split_to_array(tok, '[-'']') if w <> ''])
     else [tok] end) as term from raw),
 posts as (select doc_id, term, count(*) as tf from forms group by all),
 docs as (select d.doc_id, coalesce(sum(p.tf), 0) as dl from (select distinct doc_id from documents) d left join posts p using (doc_id) group by all),
@@ -43,7 +43,7 @@ qraw as (select query_id, unnest(regexp_extract_all(lower(question), '{X.TOKEN.r
 qforms as (
   select query_id, unnest(case
     when regexp_matches(tok, '{X.NUMBER}') then case when replace(tok, ',', '') like '$%' then [replace(tok, ',', ''), substr(replace(tok, ',', ''), 2)] else [replace(tok, ',', '')] end
-    when regexp_matches(tok, '[-'']') then list_concat([tok], list_filter(regexp_split_to_array(tok, '[-'']'), x -> x <> ''))
+    when regexp_matches(tok, '[-'']') then list_concat([tok], [w for w in regexp_split_to_array(tok, '[-'']') if w <> ''])
     else [tok] end) as term from qraw),
 qterms as (select query_id, term, count(*) as qtf from qforms group by all),
 size as (select count(*) as n_docs, avg(dl) as avgdl from docs),
