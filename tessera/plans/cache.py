@@ -135,7 +135,7 @@ def memo_misses(spark: SparkSession, d: str) -> DataFrame:
     def memo(c):
         return F.sha2(F.concat(F.coalesce(F.col(c), F.lit("")), F.lit("|large")), 256)
 
-    new = table(spark, d, "cached_answers").where(F.col("answer").isNotNull()).select(memo("answer").alias("h"), F.length("answer").alias("chars")).distinct()
+    new = table(spark, d, "cached_answers").where(F.col("answer").isNotNull()).select(memo("answer").alias("h"), F.length("answer").cast("long").alias("chars")).distinct()
     known = table(spark, d, "golden").where(F.col("reference_answer").isNotNull()).select(memo("reference_answer").alias("h"))
     return new.join(known, "h", "left_anti").select(F.substring("h", 1, 32).alias("memo"), "chars").distinct()
 
