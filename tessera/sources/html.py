@@ -61,6 +61,7 @@ def page_elements(pages: DataFrame, key: str, html: str) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, n, t, x) for k, h in zip(pdf[key], pdf[html]) for n, (t, x) in enumerate(elements_of(h))]
-            yield pd.DataFrame(rows, columns=[key, "order_no", "type", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "order_no", "type", "text"])
 
     return pages.select(key, html).mapInPandas(work, f"{key} {kind}, order_no int, type string, text string")
