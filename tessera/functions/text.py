@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- fixed values: the token grammar ---------------------------------------------------------------------
 #: A number with its sign of currency and percent, or a word with inner hyphens and apostrophes.
 TOKEN = r"\$?[0-9][0-9,]*(?:\.[0-9]+)?%?|[a-z0-9]+(?:[-'][a-z0-9]+)*"
 NUMBER = r"^\$?[0-9][0-9,]*(\.[0-9]+)?%?$"
 
 
+def raw_tokens(text: Column) -> Column:
+    """Numbers and words of a text in lower case, as they stand."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def token_forms(token: Column) -> Column:
+    """All forms under which one raw token is indexed."""
+    plain = F.regexp_replace(token, ",", "")
+    number = F.when(plain.startswith("$"), F.array(plain, F.substring(plain, 2, 1 << 20))).otherwise(F.array(plain))
+    parts = F.filter(F.split(token, "[-']"), lambda p: p != "")
+    word = F.when(token.rlike("[-']"), F.concat(F.array(token), parts)).otherwise(F.array(token))
+    return F.when(token.rlike(NUMBER), number).otherwise(word)
+
+
 def finance_tokens(text: Column) -> Column:
     """Tokens of a text: numbers without thousands marks, "$5" also as "5", hyphenated words whole and in parts.
 
     Null gives null, a text without tokens an empty array.
     """
-    raw = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
-
-    def forms(token: Column) -> Column:
-        plain = F.regexp_replace(token, ",", "")
-        number = F.when(plain.startswith("$"), F.array(plain, F.substring(plain, 2, 1 << 20))).otherwise(F.array(plain))
-        parts = F.filter(F.split(token, "[-']"), lambda p: p != "")
-        word = F.when(token.rlike("[-']"), F.concat(F.array(token), parts)).otherwise(F.array(token))
-        return F.when(token.rlike(NUMBER), number).otherwise(word)
-
-    return F.flatten(F.transform(raw, forms))
+    return F.flatten(F.transform(raw_tokens(text), token_forms))
 
 
 def collapse(text: Column) -> Column:

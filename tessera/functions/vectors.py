@@ -26,52 +26,81 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 
+def _blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The query set in blocks of QUERY_BLOCK: ids and vectors.  The driver holds one block at a time."""
+    part: list[tuple[int, list[float]]] = []
+    wanted = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("_q")).orderBy("query_id")
+    for row in wanted.toLocalIterator():
+        part.append((row[0], row[1]))
+        if len(part) == QUERY_BLOCK:
+            yield np.array([i for i, _ in part], dtype=np.int64), np.array([v for _, v in part], dtype=np.float64)
+            part = []
+    if part:
+        yield np.array([i for i, _ in part], dtype=np.int64), np.array([v for _, v in part], dtype=np.float64)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
 def exact_topk(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest of ``vectors`` for each query by cosine: query_id, key, score, rank.
 
-    The query set is taken in blocks of QUERY_BLOCK; for each block the vectors are
-    scanned once as matrix products, k rows per query leave an Arrow batch, and ranks
-    are given to these only.  Ties go to the smaller key; null vectors match nothing.
+    The query set is taken in blocks; for each block the vectors are scanned once as
+    matrix products, k rows per query leave an Arrow batch, and ranks are given to
+    these only.  Ties go to the smaller key; null vectors match nothing.
     """
-    wanted = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("_q")).orderBy("query_id")
-    out = None
-    block: list[tuple[int, list[float]]] = []
+    kind = dict(vectors.dtypes)[key]
+    schema = f"query_id long, {key} {kind}, score double"
 
-    def scan(part: list[tuple[int, list[float]]]) -> DataFrame:
-        ids = np.array([i for i, _ in part], dtype=np.int64)
-        matrix = np.array([v for _, v in part], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        sent = spark.sparkContext.broadcast((ids, matrix))
+    def scan(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, _unit(matrix)))
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qs, m = sent.value
             for pdf in batches:
                 if not len(pdf):
                     continue
-                v = np.array(pdf["_v"].tolist(), dtype=np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 keys = pdf[key].to_numpy()
                 order = np.argsort(keys, kind="stable")
-                scores, keys = (v @ m.T)[order], keys[order]
+                scores, keys = (_unit(_matrix(pdf["_v"])) @ m.T)[order], keys[order]
                 best = np.argsort(-scores, axis=0, kind="stable")[:k]
                 yield pd.DataFrame({"query_id": np.repeat(qs, len(best)), key: keys[best.T.ravel()], "score": np.take_along_axis(scores, best, axis=0).T.ravel()})
 
-        kind = dict(vectors.dtypes)[key]
-        return vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v")).mapInPandas(work, f"query_id long, {key} {kind}, score double")
+        return vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v")).mapInPandas(work, schema)
 
-    for row in wanted.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            out, block = scan(block) if out is None else out.unionByName(scan(block)), []
-    if block or out is None:
-        if not block:
-            kind = dict(vectors.dtypes)[key]
-            return spark.createDataFrame([], f"query_id long, {key} {kind}, score double, rank int")
-        out = scan(block) if out is None else out.unionByName(scan(block))
+    out = spark.createDataFrame([], schema)
+    for ids, matrix in _blocks(queries, key, vector):
+        out = out.unionByName(scan(ids, matrix))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)))
     return ranked.where(F.col("rank") <= k)
 
 
+def best_product(spark: SparkSession, vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The greatest dot product of each vector with any query: key, best.  Taken in blocks of the query set."""
+    kind = dict(vectors.dtypes)[key]
+    schema = f"{key} {kind}, best double"
+
+    def scan(matrix: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast(matrix)
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pd.DataFrame({key: pdf[key], "best": (_matrix(pdf["_v"]) @ sent.value.T).max(axis=1)})
+
+        return vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v")).mapInPandas(work, schema)
+
+    out = spark.createDataFrame([], schema)
+    for _, matrix in _blocks(queries, key, vector):
+        out = out.unionByName(scan(matrix))
+    return out.groupBy(key).agg(F.max("best").alias("best"))
+
+
 def hashed_terms(tokens: DataFrame, key: str, dimensions: int = 256) -> DataFrame:
     """Sparse unit vectors from token counts: key, bucket, weight.  ``tokens(key, term, tf)``."""
     bucket = F.pmod(F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("long"), F.lit(dimensions)).cast("int")

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import finance_tokens
+from ..functions.text import raw_tokens, token_forms
 
+# --- fixed values: parameters of BM25 and of rank fusion --------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 
 
 def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Term counts: key, term, tf.  Counted by a partial aggregation before the shuffle."""
-    return texts.select(key, F.explode(finance_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Term counts: key, term, tf.  Counted by a partial aggregation before the shuffle.
+
+    Raw tokens become rows first, so that their forms are made in generated code, and
+    only tokens that have several forms are made into arrays.
+    """
+    raw = texts.select(key, F.explode(raw_tokens(F.col(text))).alias("_t"))
+    forms = F.when(F.col("_t").rlike("[-',$]"), token_forms(F.col("_t"))).otherwise(F.array("_t"))
+    return raw.select(key, F.explode(forms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(posts: DataFrame, texts: DataFrame, key: str) -> DataFrame:

@@ -102,12 +102,17 @@ def fiscal_year_join(spark: SparkSession, d: str) -> DataFrame:
 @R.add("""with n as (select distinct lower(line_item) as item from chunks where modality = 'row_fact' and line_item is not null), q as (select distinct id, lower(question) as q from golden),
 m as (select id, item, row_number() over (partition by id order by length(item) desc, item) as k from q join n on contains(q, item)) select id, item from m where k = 1""")
 def longest_match(spark: SparkSession, d: str) -> DataFrame:
-    """The longest line item named in each question.  The names, a dictionary, ride along as one array."""
-    names = table(spark, d, "chunks").where("modality = 'row_fact' and line_item is not null").select(F.lower("line_item").alias("item")).distinct().agg(F.collect_set("item").alias("items"))
-    asked = table(spark, d, "golden").select("id", F.lower("question").alias("q")).distinct()
-    found = F.filter("items", lambda x: F.contains(F.col("q"), x))
-    best = F.get(F.array_sort(found, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(0))
-    return asked.crossJoin(F.broadcast(names)).select("id", best.alias("item")).where("item is not null")  # one row
+    """The longest line item named in each question: its runs of up to eight words joined with the names."""
+    def words(c):
+        return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+
+    names = table(spark, d, "chunks").where("modality = 'row_fact' and line_item is not null").select(F.lower("line_item").alias("item")).distinct()
+    names = names.select("item", F.array_join(words("item"), " ").alias("run"))
+    asked = table(spark, d, "golden").select("id", words("question").alias("w")).distinct().where(F.size("w") > 0)
+    runs = asked.select("id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("a")).select("id", "w", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(8), F.size("w") - F.col("a") + 1))).alias("n"))
+    found = runs.select("id", F.array_join(F.slice("w", F.col("a"), F.col("n")), " ").alias("run")).distinct().join(names, "run")
+    best = found.groupBy("id").agg(F.min(F.struct((-F.length("item")).alias("_l"), "item")).alias("b"))
+    return best.select("id", F.col("b.item").alias("item"))
 
 
 @R.add(f"with {_FACTS} select chunk_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(line_item), '\\([0-9a-z]\\)', ' ', 'g'), '[^a-z0-9&%$ -]+', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) as label from f")

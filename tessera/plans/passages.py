@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import passages as P
 from ..sources.tables import table
 from .registry import Registry
 
@@ -68,28 +68,8 @@ def text_blocks(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Prose elements of a block merged into chunks of 120 to 450 size tokens, small ones first into the smaller neighbour."""
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order_no", "element_id"])
-        pieces = [[i, t, t] for i, t in zip(pdf["element_id"], pdf["tokens"])]
-        while len(pieces) > 1:
-            small = [(p[1], n) for n, p in enumerate(pieces) if p[1] < 120]
-            done = False
-            for _, n in sorted(small):
-                near = [m for m in (n - 1, n + 1) if 0 <= m < len(pieces) and pieces[m][1] + pieces[n][1] <= 450]
-                if near:
-                    m = min(near, key=lambda x: (pieces[x][1], x))
-                    a, b = min(m, n), max(m, n)
-                    pieces[a] = [pieces[a][0], pieces[a][1] + pieces[b][1], 0]
-                    del pieces[b]
-                    done = True
-                    break
-            if not done:
-                break
-        f, b = pdf["filing_id"].iloc[0], int(pdf["block"].iloc[0])
-        return pd.DataFrame([(f, b, n, p[0], int(p[1])) for n, p in enumerate(pieces)], columns=["filing_id", "block", "chunk_no", "first_id", "tokens"])
-
     rows = _blocks(spark, d).where("prose").select("filing_id", "block", "order_no", "element_id", X.token_estimate(F.col("text")).alias("tokens"))
-    return rows.groupBy("filing_id", "block").applyInPandas(merge, "filing_id string, block long, chunk_no int, first_id string, tokens long")
+    return P.merge_blocks(rows, ["filing_id", "block"], ["order_no"], "element_id", "tokens")
 
 
 @R.add(f"""with {_ELEMENTS}, l as (select filing_id, page, bbox[2] as top, lag(bbox[2]) over (partition by filing_id, page order by order_no nulls first, element_id) as before from e)
@@ -419,7 +399,6 @@ R.oracle["dup_similarity"] = R.oracle["dup_similarity"].replace("left join", "le
 def relevance_density(spark: SparkSession, d: str) -> DataFrame:
     """Share of each group's vectors that are near any vector of the query set."""
     v = table(spark, d, "embeddings")
-    queries = v.where("vec_id % 100 = 0").agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("qs"))  # the stated query set, one row
-    best = F.array_max(F.transform("qs", lambda q: F.aggregate(F.zip_with("embedding", q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)))
-    p = v.crossJoin(F.broadcast(queries)).select("label", best.alias("best"))
+    best = V.best_product(spark, v.select("vec_id", "embedding"), v.where("vec_id % 100 = 0").select("vec_id", "embedding"))
+    p = v.select("vec_id", "label").join(best, "vec_id")
     return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.round("best", 9) >= 0.25).cast("double")), 6).alias("density"), F.round(F.max("best"), 6).alias("most"))

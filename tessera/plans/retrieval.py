@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import retrieval as R
-from ..sources.tables import table
+from ..session import use_shared_folder
+from ..sources.tables import spread, table
 
 TOP = 10
 POOL = 30
@@ -16,7 +17,7 @@ FINAL = 8
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -61,16 +62,20 @@ dots as (select query_id, doc_id, sum(vecs.weight * qvecs.weight) as score from
 dense as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from dots)"""
 
 
-def _sparse(spark: SparkSession, d: str, where=None) -> DataFrame:
-    docs = _documents(spark, d)
-    posts = R.postings(docs, "doc_id")
-    scores = R.bm25(posts, R.lengths(posts, docs, "doc_id"), _query_terms(spark, d), "doc_id")
-    return scores if where is None else scores.join(docs.where(where).select("doc_id"), "doc_id", "left_semi")
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of all documents, written once to the shared folder: every retriever reads them several times."""
+    use_shared_folder(spark)
+    return R.postings(_documents(spark, d), "doc_id").checkpoint()
+
 
+def _sparse(spark: SparkSession, d: str, posts: DataFrame) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    return R.bm25(posts, R.lengths(posts, docs, "doc_id"), _query_terms(spark, d), "doc_id")
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
+
+def _dense(spark: SparkSession, d: str, posts: DataFrame) -> DataFrame:
     """Cosine of hashed term vectors: a deterministic stand-in for an embedding model."""
-    vectors = V.hashed_terms(R.postings(_documents(spark, d), "doc_id"), "doc_id")
+    vectors = V.hashed_terms(posts, "doc_id")
     asked = V.hashed_terms(_query_terms(spark, d).withColumnRenamed("qtf", "tf"), "query_id").withColumnRenamed("weight", "_w")
     return vectors.join(asked, "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
 
@@ -81,14 +86,13 @@ def finance_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = _documents(spark, d)
-    posts = R.postings(docs, "doc_id")
-    sizes = R.lengths(posts, docs, "doc_id").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    posts = _index(spark, d)
+    sizes = R.lengths(posts, table(spark, d, "documents").select("doc_id"), "doc_id").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.round(F.avg("dl"), 6).alias("avgdl"))
     return sizes.crossJoin(posts.groupBy("term").agg(F.count("*").alias("df")).agg(F.count("*").alias("n_terms"), F.max("df").alias("max_df")))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.ranked(_sparse(spark, d), "doc_id", TOP).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return R.ranked(_sparse(spark, d, _index(spark, d)), "doc_id", TOP).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +102,8 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    lists = R.ranked(_sparse(spark, d), "doc_id", POOL).unionByName(R.ranked(_dense(spark, d), "doc_id", POOL))
+    posts = _index(spark, d)
+    lists = R.ranked(_sparse(spark, d, posts), "doc_id", POOL).unionByName(R.ranked(_dense(spark, d, posts), "doc_id", POOL))
     return R.rrf(lists, "doc_id").select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "n_lists", "best_rank")
 
 
@@ -106,7 +111,9 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """Fused pool of both retrievers; queries whose filter leaves under three results run without it."""
     docs = _documents(spark, d)
     rare = docs.where(R.where({"$and": [{"lang": {"$in": ["de", "fr"]}}, {"source": "bulletin"}]})).select("doc_id")
-    sparse, dense = _sparse(spark, d), _dense(spark, d)
+    # Both score tables are read several times; they are written once to the shared folder.
+    posts = _index(spark, d)
+    sparse, dense = _sparse(spark, d, posts).checkpoint(), _dense(spark, d, posts).checkpoint()
     # Dense filters before taking k; sparse takes four times k and filters then.
     dense_lists = R.with_retry(R.ranked(dense.join(rare, "doc_id", "left_semi"), "doc_id", POOL), R.ranked(dense, "doc_id", POOL), "doc_id")
     wide = R.ranked(sparse, "doc_id", 4 * POOL).join(rare, "doc_id", "left_semi").drop("rank")
@@ -185,8 +192,9 @@ def expand_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    sparse = R.ranked(_sparse(spark, d), "doc_id", POOL).select("query_id", "doc_id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"))
-    dense = R.ranked(_dense(spark, d), "doc_id", POOL).select("query_id", "doc_id", F.col("rank").alias("dense_rank"))
+    posts = _index(spark, d)
+    sparse = R.ranked(_sparse(spark, d, posts), "doc_id", POOL).select("query_id", "doc_id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"))
+    dense = R.ranked(_dense(spark, d, posts), "doc_id", POOL).select("query_id", "doc_id", F.col("rank").alias("dense_rank"))
     both = sparse.join(dense, ["query_id", "doc_id"], "full")
     gain = F.coalesce(1 / (R.RRF_K + F.col("bm25_rank")), F.lit(0.0)) + F.coalesce(1 / (R.RRF_K + F.col("dense_rank")), F.lit(0.0))
     pool = both.withColumn("rrf", gain)
