@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_shared_folder
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import chunking, mixture, pairs, percentiles, sentences, subjects, tokenization
 
 SHARES = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
@@ -37,7 +37,7 @@ def _p2_items(spark: SparkSession, d: str) -> DataFrame:
     elements = table(spark, d, "elements").select(F.lit("elements").alias("item_table"), F.col("element_id").alias("item_id"), F.lit(False).alias("is_table"), "text")
     chunks = table(spark, d, "chunks").where(F.col("modality").isin("text", "table"))
     chunks = chunks.select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_id"), (F.col("modality") == "table").alias("is_table"), F.col("document").alias("text"))
-    return elements.unionByName(chunks)
+    return spread(elements.unionByName(chunks))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     cached = table(spark, d, "cached_answers").where(F.coalesce(F.col("intent") != "OUT_OF_SCOPE", F.lit(True)))
     golden = golden.select(F.lit("golden").alias("pair_table"), F.col("id").alias("pair_id"), "question", F.col("reference_answer").alias("answer"))
     cached = cached.select(F.lit("cached_answers").alias("pair_table"), F.col("entry_id").alias("pair_id"), "question", "answer")
-    return pairs.broken_pairs(golden.unionByName(cached))
+    return pairs.broken_pairs(spread(golden.unionByName(cached)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,19 +66,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select(F.lit("documents").alias("item_table"), F.col("doc_id").cast("string").alias("item_id"), "text")
     chunks = table(spark, d, "chunks").where(F.col("modality") == "text")
     bodies = chunks.select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_id"), sentences.chunk_body("document").alias("text"))
-    return sentences.split_sentences(documents.unionByName(bodies))
+    return sentences.split_sentences(spread(documents.unionByName(bodies)))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
-    return tokenization.encode_corpus(spark, table(spark, d, "documents"))
+    return tokenization.encode_corpus(spark, spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     # Read several times by the schedule, so written once to the shared folder.
     use_shared_folder(spark)
     documents = table(spark, d, "documents").where(F.col("source").isNotNull()).select("doc_id", "source", "text")
-    return tokenization.count_tokens(spark, documents).checkpoint()
+    return tokenization.count_tokens(spark, spread(documents)).checkpoint()
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Documents and their subject areas with the share of sentences that deal with them."""
     use_shared_folder(spark)
-    return subjects.subjects_of(spark, table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+    return subjects.subjects_of(spark, spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
