@@ -47,14 +47,14 @@ def merge_blocks(rows: DataFrame, groups: Sequence[str], order: Sequence[str], k
     """
     kinds = dict(rows.dtypes)
     packed = rows.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(*order, key, size))).alias("_x"))
-    packed = packed.select(*groups, F.col(f"_x.{key}").alias("_ids"), F.col(f"_x.{size}").alias("_sizes"))
+    packed = packed.select(*groups, F.col(f"_x.{key}").alias("_ids"), F.transform(f"_x.{size}", lambda s: F.coalesce(s, F.lit(0))).alias("_sizes"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 *g, ids, sizes = row
-                sizes = [0 if s is None else int(s) for s in sizes]
+                sizes = [int(s) for s in sizes]
                 for number, (a, b) in enumerate(merge_small(sizes, least, most)):
                     out.append((*g, number, ids[a], sum(sizes[a:b])))
             if out:
