@@ -132,8 +132,9 @@ def _full_stop(text: str, s: int, e: int, at: int, end: int, q: int) -> float:
             return -6.0
         if low in EITHER_ABBREVIATIONS:
             return 1.0 if q + 1 < e and text[q + 1].islower() else -6.0
-        plain = word[-1].islower() and len(word) > 2 or word[-1].isdigit() or word[-1] in "%)" or word.isupper() and len(word) > 2 or word[-1].isupper() and len(word) > 1 and word[-2].islower() or word[-2:] in ("Wh",) or "h" == word[-1]
-        return 3.0 if plain and (q + 1 >= e or text[q + 1].islower() or text[q + 1].isspace() or text[q : q + 3].isupper() or text[q + 1].isupper()) else -6.0
+        # "rose.The", "5%.The", "MWh.The" end a sentence; "S.A" and "v1.A" do not.
+        plain = word[-1].isdigit() or word[-1] in "%)" or len(word) > 1 and word[-1].isalpha() and not ("." in word and not word[-2].isalpha())
+        return 3.0 if plain and (q + 1 >= e or text[q + 1].isalpha() or text[q + 1].isspace() or text[q + 1] in "'’") else -6.0
     if end > at + 1 and text[end - 1] in ")]）":  # a closed bracket ends what it holds
         return -6.0 if kind == "lower" else 5.0
     if kind == "lower":
@@ -183,7 +184,7 @@ def _cuts(text: str, s: int, e: int, closing: set[int]) -> list[tuple[int, float
         if q >= e:
             break
         c = text[q]
-        if q == end and _MARK.match(c):
+        if _MARK.match(c):
             continue
         if mark == ".":
             score = _full_stop(text, s, e, at, end, q)

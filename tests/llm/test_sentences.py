@@ -14,6 +14,7 @@ CASES = [
     ("He asked, \"is it so?\" and left. Then “A b. C d.” Next.", ["He asked, \"is it so?\" and left.", "Then “A b. C d.”", "Next."]),
     ("It grew… But not here. It grew … or so it seemed.", ["It grew…", "But not here.", "It grew … or so it seemed."]),
     ("First one.Then another.", ["First one.", "Then another."]),
+    ("As Orr put it.By contrast, it used 5 MWh.Later 9%.In v0.5.8 and at S.A.B. it did in the U.S. … or so it seemed.", ["As Orr put it.", "By contrast, it used 5 MWh.", "Later 9%.", "In v0.5.8 and at S.A.B. it did in the U.S. … or so it seemed."]),
     ("Am 3. Mai 2021 stieg es um ca. 5,0 %. Dr. Ott kam bzw. ging, d. h. bald.", ["Am 3. Mai 2021 stieg es um ca. 5,0 %.", "Dr. Ott kam bzw. ging, d. h. bald."]),
     ("„Es bleibt. Wir warten“, sagte Ott. Ende.", ["„Es bleibt. Wir warten“, sagte Ott.", "Ende."]),
     ("En EE. UU. subió. ¿Por qué? ¡Vaya!", ["En EE. UU. subió.", "¿Por qué?", "¡Vaya!"]),
