@@ -128,8 +128,13 @@ def rate_limited(log: DataFrame, per: str, limit: int, window: int) -> DataFrame
     """Which requests a sliding window lets through: refused ones do not count.
 
     ``log(per, at, seq)``; the state of one address is the times of its last ``limit``
-    accepted requests.  Rows with a null time are refused.
+    accepted requests.  Rows with a null time are refused.  A pause as long as the
+    window empties the state, so an address is cut into bursts at its pauses and a
+    group is one burst, however much traffic the address has in all.
     """
+    order = Window.partitionBy(per).orderBy("at", "seq")
+    paused = F.when(F.col("at") - F.lag("at").over(order) < window, 0).otherwise(1)
+    bursts = log.select(per, "at", "seq").withColumn("_new", paused).withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "seq"])
@@ -152,7 +157,7 @@ def rate_limited(log: DataFrame, per: str, limit: int, window: int) -> DataFrame
         return pd.DataFrame({per: pdf[per], "seq": pdf["seq"], "accepted": ok, "retry_after": wait})
 
     kind = dict(log.dtypes)[per]
-    return log.groupBy(per).applyInPandas(run, f"{per} {kind}, seq long, accepted boolean, retry_after long")
+    return bursts.groupBy(per, "_burst").applyInPandas(run, f"{per} {kind}, seq long, accepted boolean, retry_after long")
 
 
 def token_bucket(log: DataFrame, per: str, rate: float, burst: float) -> DataFrame:

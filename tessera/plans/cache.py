@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -23,7 +23,6 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cached_answers").select(*columns).distinct()
 
 
-_PERIOD = r"(?:fiscal|FY|in|en|fiscal year-end) ?(20[0-9]{2})"
 _NEGATION = r"\b(not|never|no|none|without|cannot)\b"
 
 
@@ -132,7 +131,7 @@ def ttl_expiry(spark: SparkSession, d: str) -> DataFrame:
 where answer is not null and not exists (select 1 from golden g where sha256(g.reference_answer || '|large') = sha256(coalesce(a.answer, '') || '|large'))""")
 def memo_misses(spark: SparkSession, d: str) -> DataFrame:
     """Contents not yet in the memo, by hash of content and model."""
-    def memo(c):
+    def memo(c: str) -> Column:
         return F.sha2(F.concat(F.coalesce(F.col(c), F.lit("")), F.lit("|large")), 256)
 
     new = table(spark, d, "cached_answers").where(F.col("answer").isNotNull()).select(memo("answer").alias("h"), F.length("answer").cast("long").alias("chars")).distinct()

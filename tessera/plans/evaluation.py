@@ -78,16 +78,13 @@ def ops_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@R.add("""select distinct usage_id, ts, received_at, model, status from usage_records qualify true order by received_at desc, usage_id desc limit 50""")
+@R.add("select * from (select distinct usage_id, ts, received_at, model, status from usage_records) order by received_at desc nulls last, usage_id desc limit 50")
 def ops_tail(spark: SparkSession, d: str) -> DataFrame:
     """The fifty records received last; a top-k per partition, then one."""
     u = table(spark, d, "usage_records").select("usage_id", "ts", "received_at", "model", "status").distinct()
     return u.orderBy(F.col("received_at").desc(), F.col("usage_id").desc()).limit(50)
 
 
-R.oracle["ops_tail"] = "select * from (select distinct usage_id, ts, received_at, model, status from usage_records) order by received_at desc nulls last, usage_id desc limit 50"
-
-
 @R.add("""with u as (select distinct usage_id, model, role, tokens_in, tokens_out from usage_records)
 select model, count(*) as calls, cast(sum(tokens_in) as bigint) as tokens_in, cast(sum(coalesce(tokens_out, 0)) as bigint) as tokens_out,
  round(coalesce(avg(case when role = 'large' then tokens_in + coalesce(tokens_out, 0) end), 3000), 4) as large_call from u group by model""")
@@ -175,16 +172,13 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
     return both.select("query_id", "vec_id", F.col("score").alias("sim"), "rank", (F.col("label") == F.col("_l")).alias("same"))
 
 
-@R.add(f"""with {_SIMS}, grid as (select unnest([0.1, 0.2, 0.3, 0.4]) as threshold)
+@R.add(f"""with {_SIMS}, grid as (select unnest([0.1::double, 0.2::double, 0.3::double, 0.4::double]) as threshold)
 select threshold, same, count(*) as n, round(avg(case when round(sim, 9) >= threshold then 1.0 else 0.0 end), 6) as hit_rate from near, grid group by cube (threshold, same)""")
 def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
     near = _near(spark, d).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3, 0.4)])))
     return near.cube("threshold", "same").agg(F.count("*").alias("n"), F.round(F.avg((F.round("sim", 9) >= F.col("threshold")).cast("double")), 6).alias("hit_rate"))
 
 
-R.oracle["threshold_grid"] = R.oracle["threshold_grid"].replace("unnest([0.1, 0.2, 0.3, 0.4])", "unnest([0.1::double, 0.2::double, 0.3::double, 0.4::double])")
-
-
 @R.add(f"""with {_SIMS} select same, count(*) as n, round(quantile_cont(sim, 0.5), 6) as p50, round(quantile_cont(sim, 0.1), 6) as p10, round(min(sim), 6) as least, round(max(sim), 6) as most from near group by same""")
 def sim_distribution(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).groupBy("same").agg(

@@ -392,9 +392,6 @@ def dup_similarity(spark: SparkSession, d: str) -> DataFrame:
     return best.select("chunk_id", F.col("b.dup_of").alias("dup_of"), F.round("b.sim", 6).alias("sim"))
 
 
-R.oracle["dup_similarity"] = R.oracle["dup_similarity"].replace("left join", "left join")
-
-
 @R.add("""with p as (select v.vec_id, v.label, max(list_inner_product(cast(v.embedding as double[]), cast(q.embedding as double[]))) as best from embeddings v, embeddings q where q.vec_id % 100 = 0 group by all) select label, count(*) as n, round(avg(case when round(best, 9) >= 0.25 then 1.0 else 0.0 end), 6) as density, round(max(best), 6) as most from p group by label""")
 def relevance_density(spark: SparkSession, d: str) -> DataFrame:
     """Share of each group's vectors that are near any vector of the query set."""

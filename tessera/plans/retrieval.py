@@ -275,7 +275,6 @@ def tier_pick(spark: SparkSession, d: str) -> DataFrame:
     return tiers.withColumn("n", F.row_number().over(Window.partitionBy("filing_id").orderBy("page", "chunk_id"))).where("n <= 2").select("filing_id", "chunk_id", "tier", "n")
 
 
-_COMMON_SQL = "select distinct {} from chunks"
 _EXACT_SQL = f"""
 pairs as (select q.vec_id as query_id, v.vec_id, list_inner_product(cast(v.embedding as double[]), cast(q.embedding as double[]))
    / greatest(sqrt(list_inner_product(cast(v.embedding as double[]), cast(v.embedding as double[]))) * sqrt(list_inner_product(cast(q.embedding as double[]), cast(q.embedding as double[]))), 1e-12) as score

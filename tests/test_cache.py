@@ -39,6 +39,20 @@ def test_rate_limit_does_not_count_refusals(spark):
     assert got == {0: (True, 0), 1: (True, 0), 2: (False, 8), 3: (True, 0), 4: (True, 0), 5: (False, 8), 9: (False, 0)}
 
 
+def test_rate_limit_in_bursts_is_the_limit_in_one_go(spark):
+    random.seed(4)
+    times = sorted(random.randint(0, 900) for _ in range(150))
+    taken, want = [], []
+    for t in times:
+        taken = [x for x in taken if x > t - 20]
+        want.append(len(taken) < 3)
+        if want[-1]:
+            taken.append(t)
+    log = spark.createDataFrame([("u", t, n) for n, t in enumerate(times)], "u string, at long, seq long")
+    got = {r["seq"]: r["accepted"] for r in C.rate_limited(log, "u", 3, 20).collect()}
+    assert [got[n] for n in range(150)] == want
+
+
 def test_token_bucket(spark):
     log = spark.createDataFrame([("u", 0, 0, 10.0), ("u", 0, 1, 5.0), ("u", 100, 2, 1.0)], "u string, at long, seq long, cost double")
     got = {r["seq"]: r["wait"] for r in C.token_bucket(log, "u", rate=1.0, burst=10.0).collect()}
