@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
-from collections import OrderedDict
-from collections.abc import Sequence
+from collections import OrderedDict, deque
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,27 +102,65 @@ class _Store:
         return gone
 
 
+def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Callable[[tuple], Any], step: Callable[[Any, tuple], tuple | None], finish: Callable[[tuple, Any], tuple | None], schema: str, values: Sequence[str]) -> DataFrame:
+    """Runs a state machine over the rows of each key in order, as one pass over sorted partitions.
+
+    ``begin`` makes a key's state, ``step(state, values)`` may return an output row and
+    ``finish(key, state)`` another.  A task holds one state and one Arrow batch at a
+    time, so the length of a key's log does not count, and short logs cost no call each.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    # A stated number of partitions, as small ones must not be joined: the work is in Python, not in the bytes.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.select(*keys, *order, *[v for v in values if v not in (*keys, *order)]).repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        state: Any = None
+        for pdf in batches:
+            out = []
+            columns = [pdf[k].astype(object).where(pdf[k].notna(), None).tolist() for k in (*keys, *values)]
+            for row in zip(*columns):
+                key, rest = row[: len(keys)], row[len(keys) :]
+                if now is None or key != now:
+                    if now is not None and (last := finish(now, state)) is not None:
+                        out.append(last)
+                    now, state = key, begin(key)
+                if (made := step(state, rest)) is not None:
+                    out.append(made)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if now is not None and (last := finish(now, state)) is not None:
+            yield pd.DataFrame([last], columns=names)
+
+    return sorted_rows.mapInPandas(run, schema)
+
+
 def replay(log: DataFrame, arms: DataFrame, ttl: int) -> DataFrame:
     """Replays ``log(shard, at, seq, identity)`` under each of ``arms(policy, capacity)``.
 
     The state of a cache is sequential by nature.  A cache serves one shard of the key
-    space, so shards and arms run side by side and no task holds more than a shard's
-    log.  Invariants: hits + misses + expired = queries; writes = misses + expired.
+    space, so shards and arms run side by side.  Invariants: hits + misses + expired =
+    queries; writes = misses + expired.
     """
-    schema = "policy string, capacity int, shard int, queries long, hits long, misses long, expired long, evictions long"
+    def begin(key: tuple) -> tuple[_Store, dict[str, int]]:
+        return _Store(key[0], int(key[1]), ttl), {"hit": 0, "miss": 0, "expired": 0, "gone": 0}
+
+    def step(state: tuple[_Store, dict[str, int]], row: tuple) -> None:
+        store, counts = state
+        at, seq, identity = row
+        what = store.get(identity, at)
+        counts[what] += 1
+        if what != "hit":
+            counts["gone"] += store.put(identity, at, seq)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        policy, capacity, shard = pdf["policy"].iloc[0], int(pdf["capacity"].iloc[0]), int(pdf["shard"].iloc[0])
-        store = _Store(policy, capacity, ttl)
-        counts, gone = {"hit": 0, "miss": 0, "expired": 0}, 0
-        for at, seq, identity in pdf.sort_values(["at", "seq"])[["at", "seq", "identity"]].itertuples(index=False):
-            what = store.get(identity, at)
-            counts[what] += 1
-            if what != "hit":
-                gone += store.put(identity, at, seq)
-        return pd.DataFrame([(policy, capacity, shard, len(pdf), counts["hit"], counts["miss"], counts["expired"], gone)], columns=["policy", "capacity", "shard", "queries", "hits", "misses", "expired", "evictions"])
+    def finish(key: tuple, state: tuple[_Store, dict[str, int]]) -> tuple:
+        n = state[1]
+        return (*key, n["hit"] + n["miss"] + n["expired"], n["hit"], n["miss"], n["expired"], n["gone"])
 
-    return log.crossJoin(F.broadcast(arms)).groupBy("policy", "capacity", "shard").applyInPandas(run, schema)
+    schema = "policy string, capacity int, shard int, queries long, hits long, misses long, expired long, evictions long"
+    every = log.crossJoin(F.broadcast(arms))  # a handful of arms
+    return in_order(every, ["policy", "capacity", "shard"], ["at", "seq"], begin, step, finish, schema, ["at", "seq", "identity"])
 
 
 def rate_limited(log: DataFrame, per: str, limit: int, window: int) -> DataFrame:
@@ -129,51 +168,51 @@ def rate_limited(log: DataFrame, per: str, limit: int, window: int) -> DataFrame
 
     ``log(per, at, seq)``; the state of one address is the times of its last ``limit``
     accepted requests.  Rows with a null time are refused.  A pause as long as the
-    window empties the state, so an address is cut into bursts at its pauses and a
-    group is one burst, however much traffic the address has in all.
+    window empties the state, so an address is cut into bursts at its pauses, and the
+    bursts of a busy address are spread over the tasks.
     """
     order = Window.partitionBy(per).orderBy("at", "seq")
     paused = F.when(F.col("at") - F.lag("at").over(order) < window, 0).otherwise(1)
     bursts = log.select(per, "at", "seq").withColumn("_new", paused).withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kind = dict(log.dtypes)[per]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        taken: list[int] = []
-        ok, wait, first = [], [], 0
-        for at in pdf["at"]:
-            if pd.isna(at):
-                ok.append(False)
-                wait.append(0)
-                continue
-            while first < len(taken) and taken[first] <= at - window:
-                first += 1
-            if len(taken) - first < limit:
-                taken.append(at)
-                ok.append(True)
-                wait.append(0)
-            else:
-                ok.append(False)
-                wait.append(int(taken[first] + window - at))
-        return pd.DataFrame({per: pdf[per], "seq": pdf["seq"], "accepted": ok, "retry_after": wait})
+    def begin(key: tuple) -> tuple[Any, deque]:
+        return key[0], deque()
 
-    kind = dict(log.dtypes)[per]
-    return bursts.groupBy(per, "_burst").applyInPandas(run, f"{per} {kind}, seq long, accepted boolean, retry_after long")
+    def step(state: tuple[Any, deque], row: tuple) -> tuple:
+        who, taken = state
+        at, seq = row
+        if at is None:
+            return who, seq, False, 0
+        while taken and taken[0] <= at - window:
+            taken.popleft()
+        if len(taken) < limit:
+            taken.append(at)
+            return who, seq, True, 0
+        return who, seq, False, int(taken[0] + window - at)
+
+    return in_order(bursts, [per, "_burst"], ["at", "seq"], begin, step, lambda key, state: None, f"{per} {kind}, seq long, accepted boolean, retry_after long", ["at", "seq"])
 
 
 def token_bucket(log: DataFrame, per: str, rate: float, burst: float) -> DataFrame:
-    """Waiting time of each request under a token bucket: ``log(per, at, seq, cost)`` with times in seconds."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        level, clock, waits = burst, None, []
-        for at, cost in zip(pdf["at"], pdf["cost"]):
-            now = float(at) if clock is None else max(float(at), clock)
-            level = burst if clock is None else min(burst, level + (now - clock) * rate)
-            pause = max(0.0, (min(float(cost), burst) - level) / rate)
-            clock = now + pause
-            level = min(burst, level + pause * rate) - min(float(cost), burst)
-            waits.append(round(clock - float(at), 6))
-        return pd.DataFrame({per: pdf[per], "seq": pdf["seq"], "wait": waits})
+    """Waiting time of each request under a token bucket: ``log(per, at, seq, cost)`` with times in seconds.
 
+    A cost over the size of the bucket counts as a full bucket; null costs are free and
+    rows with a null time give no row.
+    """
     kind = dict(log.dtypes)[per]
-    return log.groupBy(per).applyInPandas(run, f"{per} {kind}, seq long, wait double")
+
+    def begin(key: tuple) -> dict[str, Any]:
+        return {"who": key[0], "level": burst, "clock": None}
+
+    def step(state: dict[str, Any], row: tuple) -> tuple:
+        at, seq, cost = row
+        need = min(float(cost or 0.0), burst)
+        now = float(at) if state["clock"] is None else max(float(at), state["clock"])
+        level = burst if state["clock"] is None else min(burst, state["level"] + (now - state["clock"]) * rate)
+        pause = max(0.0, (need - level) / rate)
+        state["clock"] = now + pause
+        state["level"] = min(burst, level + pause * rate) - need
+        return state["who"], seq, round(state["clock"] - float(at), 6)
+
+    return in_order(log.where(F.col("at").isNotNull()), [per], ["at", "seq"], begin, step, lambda key, state: None, f"{per} {kind}, seq long, wait double", ["at", "seq", "cost"])

@@ -63,3 +63,11 @@ def test_victims(spark):
     rows = [("a", "i", 5, 0, 100, "cv"), ("b", "i", 1, 0, 90, "cv"), ("c", "i", 9, 0, 50, "old"), ("d", "i", 1, 0, 80, "cv")]
     df = spark.createDataFrame(rows, "entry_id string, intent string, lfu_counter int, last_hit_at long, expires_at long, corpus_version string")
     assert [r["entry_id"] for r in C.victims(df, 10, 1000, "cv", "intent", 4).orderBy("turn").collect()] == ["c", "d", "b", "a"]
+
+
+def test_limits_of_null_keys_and_empty_logs(spark):
+    log = spark.createDataFrame([(None, 1, 0, 1.0), (None, 1, 1, None), ("u", None, 2, 1.0)], "u string, at long, seq long, cost double").selectExpr("*", "true as accepted")
+    assert {r["seq"]: r["accepted"] for r in C.rate_limited(log, "u", 1, 5).collect()} == {0: True, 1: False, 2: False}
+    assert {r["seq"]: r["wait"] for r in C.token_bucket(log, "u", 1.0, 1.0).collect()} == {0: 0.0, 1: 0.0}
+    empty = log.where("false")
+    assert C.rate_limited(empty, "u", 1, 5).count() == C.token_bucket(empty, "u", 1.0, 1.0).count() == 0
