@@ -13,8 +13,8 @@ never stands in one task; the global cut works likewise over ranges of time.
 
 Defined cases: null and unknown sources take no part; empty and null texts have
 no tokens and are not drawn; ties in hash or finish time are broken by doc_id;
-a source without tokens makes the default budget 0, as its share can't be met,
-unless its target is 0.
+a source without tokens is left out and the other shares keep their proportions
+(the report shows what it missed); repeated rows are documents of their own.
 """
 
 from __future__ import annotations
@@ -27,9 +27,12 @@ SLICES = 2048
 
 
 def capacity(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Tokens there are of each target source, and the budget: the largest every source can fill."""
+    """Target sources that have tokens, their shares made to add up to 1, and the budget: the largest every source can fill."""
     have = sizes.where(F.col("n_tokens") > 0).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    per = targets.where(F.col("target_share") > 0).join(have, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    wanted = targets.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0)).select("source", "target_share", "max_repeats")
+    per = wanted.join(have, "source")
+    per = per.crossJoin(F.broadcast(per.agg(F.sum("target_share").alias("_all"))))  # one row
+    per = per.withColumn("target_share", F.col("target_share") / F.col("_all")).drop("_all")
     limit = F.floor(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).alias("budget")
     return per.crossJoin(F.broadcast(per.agg(limit)))  # one row for each target source
 

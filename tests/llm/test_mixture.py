@@ -51,7 +51,9 @@ def test_positions_are_the_running_total_in_order_of_finish(spark):
 
 def test_a_source_without_tokens_and_empty_tables(spark):
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
-    assert M.mix(sizes(spark, [(1, "a", 5)]), t).count() == 0
+    only = M.mix(sizes(spark, [(1, "a", 5)]), t)
+    assert [(r["doc_id"], r["position"]) for r in only.collect()] == [(1, 5)]
+    assert {r["source"]: r["actual_share"] for r in M.shares(only, t).collect()} == {"a": 1.0, "b": 0.0}
     assert M.mix(sizes(spark, []), t).count() == 0
     assert [r["actual_share"] for r in M.shares(M.mix(sizes(spark, []), t), t).collect()] == [0.0, 0.0]
 
