@@ -93,10 +93,13 @@ def expand_parents(candidates: DataFrame, children: DataFrame, parts: DataFrame)
     ``parts(parent_id, part_id, part_no)``.  A part already among the candidates is left
     out; of several candidates that pull it the best ranked counts.
     """
-    pulled = candidates.join(children.where(F.col("parent_id").isNotNull()), "chunk_id").join(parts, "parent_id")
+    # One candidate stands for each parent, so a parent's parts are not repeated for all its children.
+    held = candidates.join(children.where(F.col("parent_id").isNotNull()), "chunk_id")
+    held = held.groupBy("query_id", "parent_id").agg(F.min(F.struct("rank", "chunk_id")).alias("_c"))
+    pulled = held.join(parts, "parent_id").select("query_id", "part_id", F.struct("_c.rank", "_c.chunk_id", "part_no").alias("_c"))
     new = pulled.join(candidates.select("query_id", F.col("chunk_id").alias("part_id")), ["query_id", "part_id"], "left_anti")
-    first = Window.partitionBy("query_id", "part_id").orderBy("rank", "chunk_id")
-    return new.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", F.col("part_id").alias("chunk_id"), F.col("chunk_id").alias("expanded_from"), "part_no")
+    first = new.groupBy("query_id", "part_id").agg(F.min("_c").alias("_c"))
+    return first.select("query_id", F.col("part_id").alias("chunk_id"), F.col("_c.chunk_id").alias("expanded_from"), F.col("_c.part_no").alias("part_no"))
 
 
 def floor_and_keep(scored: DataFrame, key: str, floor: float, min_keep: int, final_k: int) -> DataFrame:

@@ -183,10 +183,10 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expand_parents(spark: SparkSession, d: str) -> DataFrame:
-    """Row facts among the first chunks of each filing pull in the table parts of their statement."""
+    """Every row fact pulls in the table parts of its statement; of several that pull a part the first by page counts."""
     chunks = table(spark, d, "chunks").select("chunk_id", "modality", "parent_id", "table_part", "filing_id", "page").distinct()
-    order = Window.partitionBy("filing_id").orderBy("page", "chunk_id")
-    ranked = chunks.where("modality = 'row_fact'").withColumn("rank", F.row_number().over(order)).where("rank <= 5").select(F.col("filing_id").alias("query_id"), "chunk_id", "rank")
+    # The page is the rank, ties go by chunk_id: no window over a filing is needed.
+    ranked = chunks.where("modality = 'row_fact'").select(F.col("filing_id").alias("query_id"), "chunk_id", F.col("page").alias("rank"))
     parts = chunks.where("modality = 'table' and parent_id is not null").select("parent_id", F.col("chunk_id").alias("part_id"), F.col("table_part").alias("part_no")).distinct()
     return R.expand_parents(ranked, chunks.where("modality = 'row_fact'").select("chunk_id", "parent_id").distinct(), parts)
 

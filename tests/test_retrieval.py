@@ -5,6 +5,7 @@ import pytest
 
 from tessera.functions import vectors as V
 from tessera.operators import retrieval as R
+from tessera.plans import retrieval as Q
 
 
 def test_rrf_of_two_lists(spark):
@@ -77,3 +78,12 @@ def test_retry_without_filter(spark):
     filtered = spark.createDataFrame([("x", "1", 1), ("y", "1", 1), ("y", "2", 2), ("y", "3", 3)], s)
     whole = spark.createDataFrame([("x", "7", 1), ("y", "8", 1)], s)
     assert sorted((r[0], r[1]) for r in R.with_retry(filtered, whole, "id").collect()) == [("x", "7"), ("y", "1"), ("y", "2"), ("y", "3")]
+
+
+def test_every_row_fact_pulls_its_table_parts(spark, tmp_path):
+    rows = [(f"r{n:02}", "row_fact", f"p{n % 9}", None, "f", n) for n in range(20)] + [("r20", "row_fact", None, None, "f", 1), ("r21", "row_fact", "p8", None, None, None)]
+    rows += [(f"t{p}{part}", "table", f"p{p}", part, "f", p) for p in range(9) for part in (1, 2)]
+    spark.createDataFrame(rows, "chunk_id string, modality string, parent_id string, table_part int, filing_id string, page int").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = sorted((str(r["query_id"]), r["chunk_id"], r["expanded_from"], r["part_no"]) for r in Q.expand_parents(spark, str(tmp_path)).collect())
+    want = [("None", f"t8{part}", "r21", part) for part in (1, 2)] + [("f", f"t{p}{part}", f"r{p:02}", part) for p in range(9) for part in (1, 2)]
+    assert got == want
