@@ -52,6 +52,25 @@ def numbered(rows: DataFrame, time: str, ties: Sequence[str], slices: int = 1024
     return placed.join(offsets, "_slice").withColumn("row_no", F.col("_before") + F.row_number().over(inside)).drop("_slice", "_before")
 
 
+def numbered_within(rows: DataFrame, groups: Sequence[str], slices: Sequence[str], ties: Sequence[str], name: str) -> DataFrame:
+    """Rows with ``name``, their number from 1 inside ``groups`` in the order of ``slices``, then ``ties``.
+
+    Rows are numbered inside their slice and offsets come from the counts of slices, so
+    a group of a third of all rows is not gathered into one task.  Null is a value like
+    any other and comes first.
+    """
+    keys = [*groups, *slices]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    inside = Window.partitionBy(*keys).orderBy(*ties)
+    ranked = rows.withColumn("_inside", F.row_number().over(inside))
+    return ranked.join(offsets, same).withColumn(name, F.col("_before") + F.col("_inside")).drop("_inside", "_before", *[f"_o_{k}" for k in keys])
+
+
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve by rank sums, ties at their mean rank, from counts by score."""
     counts = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))

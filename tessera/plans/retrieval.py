@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import retrieval as R
+from ..operators import statistics as S
 from ..session import use_shared_folder
 from ..sources.tables import spread, table
 
@@ -249,8 +250,10 @@ def context_order(spark: SparkSession, d: str) -> DataFrame:
     """Context blocks of each filing: row facts, then tables, text, figures; by page within each."""
     chunks = table(spark, d, "chunks").select("filing_id", "chunk_id", "modality", "page").distinct()
     place = F.array_position(F.array(*[F.lit(x) for x in ("row_fact", "table", "text", "figure")]), F.col("modality"))
-    order = Window.partitionBy("filing_id").orderBy(place, F.col("page").asc_nulls_last(), "chunk_id")
-    return chunks.withColumn("position", F.row_number().over(order)).where("position <= 12").select("filing_id", "chunk_id", "modality", "position")
+    # One page of one modality is a slice; a null page comes last.
+    placed = chunks.withColumn("_place", place).withColumn("_no_page", F.col("page").isNull())
+    numbered = S.numbered_within(placed, ["filing_id"], ["_place", "_no_page", "page"], ["chunk_id"], "position")
+    return numbered.select("filing_id", "chunk_id", "modality", F.col("position").cast("int").alias("position"))
 
 
 def budget_fill(spark: SparkSession, d: str) -> DataFrame:

@@ -87,3 +87,12 @@ def test_every_row_fact_pulls_its_table_parts(spark, tmp_path):
     got = sorted((str(r["query_id"]), r["chunk_id"], r["expanded_from"], r["part_no"]) for r in Q.expand_parents(spark, str(tmp_path)).collect())
     want = [("None", f"t8{part}", "r21", part) for part in (1, 2)] + [("f", f"t{p}{part}", f"r{p:02}", part) for p in range(9) for part in (1, 2)]
     assert got == want
+
+
+def test_every_chunk_has_its_place_in_the_context(spark, tmp_path):
+    kinds = ("row_fact", "table", "text", "figure")
+    rows = [("f", f"c{n:02}", kinds[n % 4], None if n % 7 == 0 else n // 6) for n in range(40)] + [(None, "z", "text", 1), ("g", "y", "text", None)]
+    spark.createDataFrame(rows, "filing_id string, chunk_id string, modality string, page int").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r["filing_id"], r["chunk_id"]): r["position"] for r in Q.context_order(spark, str(tmp_path)).collect()}
+    order = sorted((r for r in rows if r[0] == "f"), key=lambda r: (kinds.index(r[2]), r[3] is None, r[3] or 0, r[1]))
+    assert got == {("f", r[1]): n for n, r in enumerate(order, 1)} | {(None, "z"): 1, ("g", "y"): 1}
