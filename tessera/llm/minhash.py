@@ -37,6 +37,25 @@ def similar_pairs(items: DataFrame, key: str, shingles: str, bands: int = 16, ro
     return a.join(b, "_bucket").where("a < b").withColumn("similarity", jaccard).where(F.col("similarity") >= similarity).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def near_pairs(items: DataFrame, key: str, shingles: str, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs of ``similar_pairs`` for long texts of few templates, whose bands would collide; none is missed.
+
+    Sets of a Jaccard similarity s share one of the n - ceil(s n) + 1 rarest members of
+    each, so only those are joined, and candidates are verified.
+    """
+    sets = items.select(key, shingles).where(F.size(shingles) > 0)
+    each = sets.select(key, F.size(shingles).alias("_n"), F.explode(shingles).alias("_s"))
+    often = each.groupBy("_s").agg(F.count("*").alias("_f")).where("_f > 1")
+    ordered = each.join(often, "_s", "left").groupBy(key, "_n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(1)).alias("f"), F.col("_s").alias("s")))).alias("_o"))
+    prefix = F.slice("_o", F.lit(1), (F.col("_n") - F.ceil(F.col("_n") * similarity - 1e-9) + 1).cast("int"))
+    rare = ordered.select(key, "_n", F.explode(F.filter(prefix, lambda x: x["f"] > 1)).alias("_x")).select(key, "_n", F.col("_x.s").alias("_s"))
+    a, b = rare.select(F.col(key).alias("a"), F.col("_n").alias("_na"), "_s"), rare.select(F.col(key).alias("b"), F.col("_n").alias("_nb"), "_s")
+    found = a.join(b, "_s").where("a < b").where(F.least("_na", "_nb") >= F.greatest("_na", "_nb") * similarity - 1e-9).select("a", "b").distinct()
+    found = found.join(sets.select(F.col(key).alias("a"), F.col(shingles).alias("_sa")), "a").join(sets.select(F.col(key).alias("b"), F.col(shingles).alias("_sb")), "b")
+    common = F.size(F.array_intersect("_sa", "_sb"))
+    return found.select("a", "b", (common / (F.size("_sa") + F.size("_sb") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
+
+
 def classes(items: DataFrame, links: DataFrame, key: str, rounds: int = 30) -> DataFrame:
     """``key`` and ``class``, the least key that can be reached over ``links(a, b)``.
 

@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import use_shared_folder
 from ..sources.tables import table
 from .passages import _FEATURES, _NUM, _chunk_features
 from .registry import Registry
 
 R = Registry()
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+_TOKENS = rf"[{_UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_UNSPACED}]]+"
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -53,11 +56,27 @@ def rule_intent(spark: SparkSession, d: str) -> DataFrame:
 @R.add("""with b as (select distinct chunk_id, substr(document, instr(document, chr(10)) + 1) as body from chunks where modality = 'text' and document is not null)
 select min(chunk_id) as kept, count(*) as copies, sha256(body) as content from b group by body""")
 def dedupe_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Text chunks with the same body: the first is kept and stands for all."""
+    """Text chunks with the same or nearly the same body: the first is kept and stands for all.
+
+    Bodies are near if their runs of five words have a Jaccard similarity of 0.8; near
+    ones are linked, and a class is what links reach.  ``content`` is that of the kept.
+    """
+    from ..llm import minhash as M
+
+    use_shared_folder(spark)
     c = table(spark, d, "chunks").where("modality = 'text' and document is not null")
     body = F.expr("substring(document, instr(document, '\\n') + 1)")
+    tokens = F.regexp_extract_all(F.lower(body), F.lit(_TOKENS), F.lit(0))  # a sign is a word where none are spaced
     b = c.select("chunk_id", F.sha2(body, 256).alias("content")).distinct()
-    return b.groupBy("content").agg(F.min("chunk_id").alias("kept"), F.count("*").alias("copies")).select("kept", "copies", "content")
+    copies = b.groupBy("content").agg(F.min("chunk_id").alias("kept"), F.count("*").alias("copies"))
+    sets = c.select(F.col("chunk_id").alias("kept"), F.sha2(body, 256).alias("content"), tokens.alias("tokens")).dropDuplicates(["kept", "content"])
+    # The tokens are a column by now: written into the shingles they would be cut again for each of them.
+    bodies = copies.join(sets, ["kept", "content"]).select("kept", "copies", "content", F.monotonically_increasing_id().alias("id"), M.word_shingles(F.col("tokens")).alias("shingles")).checkpoint()
+    links = M.near_pairs(bodies, "id", "shingles").checkpoint()
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    classed = bodies.select("id", "kept", "copies", "content").join(M.classes(ends, links, "id"), "id", "left")
+    merged = classed.groupBy(F.coalesce("class", "id").alias("class")).agg(F.min(F.struct("kept", "content")).alias("_k"), F.sum("copies").alias("copies"))
+    return merged.select("_k.kept", "copies", "_k.content")
 
 
 @R.add(f"""with {_FEATURES}, a as (select filing_id, chunk_id, tokens, case when modality = 'table' and tokens > 150 then 'row_select' when rank > 8 and modality = 'text' then 'drop' when 0.45 * noise + 0.25 * len_score + 0.20 * pressure + 0.10 * intent_w >= 0.55 and modality = 'text' then 'extract' else 'keep' end as action from x)

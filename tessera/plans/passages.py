@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import passages as P
+from ..operators import statistics as S
 from ..sources.tables import table
 from .registry import Registry
 
@@ -382,14 +383,12 @@ w as (select filing_id, chunk_id, rank, list_distinct(regexp_extract_all(lower(d
 j as (select b.chunk_id, a.chunk_id as dup_of, a.rank as arank, len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) as sim from w b join w a on a.filing_id = b.filing_id and a.rank < b.rank),
 n as (select *, row_number() over (partition by chunk_id order by round(sim, 9) desc, arank) as m from j where sim is not null) select chunk_id, dup_of, round(sim, 6) as sim from n where m = 1""")
 def dup_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar better-ranked chunk among the first eight of each filing."""
+    """The most similar better-ranked text chunk of the same filing, for every text chunk."""
     c = table(spark, d, "chunks").where("modality = 'text' and document is not null").select("filing_id", "chunk_id", "page", "document").distinct()
-    k = c.withColumn("rank", F.row_number().over(Window.partitionBy("filing_id").orderBy("page", "chunk_id"))).where("rank <= 8")
-    w = k.select("filing_id", "chunk_id", "rank", F.array_distinct(F.regexp_extract_all(F.lower("document"), F.lit("([a-z]{3,})"), F.lit(1))).alias("w"))
-    a = w.select("filing_id", F.col("chunk_id").alias("dup_of"), F.col("rank").alias("ar"), F.col("w").alias("aw"))
-    j = w.join(a, "filing_id").where("ar < rank").withColumn("sim", F.try_divide(F.size(F.array_intersect("w", "aw")), F.size(F.array_union("w", "aw")))).where("sim is not null")
-    best = j.groupBy("chunk_id").agg(F.max(F.struct(F.round("sim", 9).alias("s"), (-F.col("ar")).alias("r"), "dup_of", "sim")).alias("b"))
-    return best.select("chunk_id", F.col("b.dup_of").alias("dup_of"), F.round("b.sim", 6).alias("sim"))
+    k = S.numbered_within(c, ["filing_id"], ["page"], ["chunk_id"], "rank")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("document"), F.lit("([a-z]{3,})"), F.lit(1)))
+    best = P.most_similar_before(k.select("filing_id", "chunk_id", "rank", words.alias("w")), "filing_id", "chunk_id", "rank", "w")
+    return best.select("chunk_id", "dup_of", F.round("sim", 6).alias("sim"))
 
 
 @R.add("""with p as (select v.vec_id, v.label, max(list_inner_product(cast(v.embedding as double[]), cast(q.embedding as double[]))) as best from embeddings v, embeddings q where q.vec_id % 100 = 0 group by all) select label, count(*) as n, round(avg(case when round(best, 9) >= 0.25 then 1.0 else 0.0 end), 6) as density, round(max(best), 6) as most from p group by label""")
