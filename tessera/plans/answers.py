@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import minhash as M
 from ..session import use_shared_folder
 from ..sources.tables import table
 from .passages import _FEATURES, _NUM, _chunk_features
@@ -61,8 +62,6 @@ def dedupe_merge(spark: SparkSession, d: str) -> DataFrame:
     Bodies are near if their runs of five words have a Jaccard similarity of 0.8; near
     ones are linked, and a class is what links reach.  ``content`` is that of the kept.
     """
-    from ..llm import minhash as M
-
     use_shared_folder(spark)
     c = table(spark, d, "chunks").where("modality = 'text' and document is not null")
     body = F.expr("substring(document, instr(document, '\\n') + 1)")
