@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minhash import classes, similar_pairs, word_shingles
+from ..operators.minhash import classes, similar_pairs, word_shingles
 
 # --- fixed values: wording ---------------------------------------------------------------------
 PLACEHOLDERS = frozenset(

@@ -1,7 +1,7 @@
 import pytest
 
 from tessera.llm import pairs as P
-from tessera.llm.minhash import classes, similar_pairs, word_shingles
+from tessera.operators.minhash import classes, similar_pairs, word_shingles
 
 Q = "How did goodwill change at Acme in 2024?"
 
