@@ -379,7 +379,7 @@ def number_support(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("""with c as (select distinct filing_id, chunk_id, page, document from chunks where modality = 'text' and document is not null), k as (select *, row_number() over (partition by filing_id order by page nulls first, chunk_id) as rank from c),
-w as (select filing_id, chunk_id, rank, list_distinct(regexp_extract_all(lower(document), '[a-z]{3,}')) as w from k where rank <= 8),
+w as (select filing_id, chunk_id, rank, list_distinct(regexp_extract_all(lower(document), '[a-z]{3,}')) as w from k),
 j as (select b.chunk_id, a.chunk_id as dup_of, a.rank as arank, len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) as sim from w b join w a on a.filing_id = b.filing_id and a.rank < b.rank),
 n as (select *, row_number() over (partition by chunk_id order by round(sim, 9) desc, arank) as m from j where sim is not null) select chunk_id, dup_of, round(sim, 6) as sim from n where m = 1""")
 def dup_similarity(spark: SparkSession, d: str) -> DataFrame:

@@ -324,7 +324,7 @@ dots as (select c.vec_id, m.label, sum(c.x * m.m) as dot, sqrt(sum(c.x * c.x)) a
 select vec_id, label, round(dot / greatest(vlen * len, 1e-12), 6) as cosine from dots join length using (label)""",
     "expand_parents": """with c as (select distinct chunk_id, modality, parent_id, table_part, filing_id, page from chunks),
 r as (select filing_id as query_id, chunk_id, row_number() over (partition by filing_id order by page nulls first, chunk_id) as rank from c where modality = 'row_fact'),
-k as (select * from r where rank <= 5), ch as (select distinct chunk_id, parent_id from c where modality = 'row_fact' and parent_id is not null),
+k as (select * from r), ch as (select distinct chunk_id, parent_id from c where modality = 'row_fact' and parent_id is not null),
 p as (select distinct parent_id, chunk_id as part_id, table_part as part_no from c where modality = 'table' and parent_id is not null),
 j as (select k.query_id, k.chunk_id, k.rank, p.part_id, p.part_no from k join ch using (chunk_id) join p using (parent_id)
   where not exists (select 1 from k o where o.query_id is not distinct from k.query_id and o.chunk_id = p.part_id)),
@@ -347,7 +347,7 @@ f as (select id, variant, min(pos) as pos from v where variant <> '' group by al
 n as (select id, cast(row_number() over (partition by id order by pos) as integer) as n, variant from f) select * from n where n <= 4""",
     "context_order": """with c as (select distinct filing_id, chunk_id, modality, page from chunks),
 o as (select *, row_number() over (partition by filing_id order by list_position(['row_fact', 'table', 'text', 'figure'], modality), page nulls last, chunk_id) as position from c)
-select filing_id, chunk_id, modality, cast(position as integer) as position from o where position <= 12""",
+select filing_id, chunk_id, modality, cast(position as integer) as position from o""",
     "answer_metrics": f"""with {_POOL_SQL} select query_id, round(max(bm25_score), 6) as best_bm25, round(max(rrf), 6) as best_rrf, string_agg(cast(doc_id as varchar), ',' order by position) as passages from pool where position <= 5 group by query_id""",
     "tier_pick": """with f as (select distinct filing_id, chunk_id, page, document, figure_type from chunks where modality = 'figure'),
 t as (select *, case when document is not null and figure_type = 'chart' then 1 when page = min(page) over (partition by filing_id) then 2 else 3 end as tier from f),
