@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -46,6 +47,25 @@ def use_shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+class Scratch:
+    """Tables written to the shared folder while an operator works, and removed when it has written its result."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._folder = f"{use_shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as written under ``name``: lineage ends there, and every use reads the same rows."""
+        path = f"{self._folder}/{name}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm = self._spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
