@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import formulas as CALC
+from ..operators import statements as ST
 from ..sources.tables import table
 from .registry import Registry
 
@@ -53,32 +55,119 @@ def yoy_change(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["chunk_id", "fy"]).select("chunk_id", "fy", F.round(change, 4).alias("absolute"), F.round(F.try_divide(change, F.abs("_v")) * 100, 4).alias("percent"), status.alias("status"))
 
 
-@R.add(f"""with {_LONG}, m as (select filing_id, fy, max(case when line_item_norm like 'cash%' then abs(value) end) as cash, max(case when line_item_norm like 'total current%' then abs(value) end) as current,
- max(case when line_item_norm like 'long-term%' or line_item_norm like 'long_term%' or line_item_norm like 'long term%' then abs(value) end) as debt, count(*) as rows_of from long group by all)
-select filing_id, cast(fy as integer) as fy, round(cash / nullif(current, 0), 6) as cash_ratio, round((coalesce(debt, 0) + current) / nullif(cash, 0), 6) as debt_cover,
- case when cash is null or current is null then 'missing_inputs' when current = 0 then 'error' else 'ok' end as status from m""")
+def _formula_sql() -> str:
+    """The registry as SQL: one branch a formula over its inputs as columns."""
+    names = sorted({k for f in CALC.FORMULAS.values() for k in f.inputs})
+    wanted = ", ".join(f"('{n}', '{f.statement}', '{k}', '{i.item.replace(chr(39), chr(39) * 2)}', {i.back}, {str(i.optional).lower()})" for n, f in CALC.FORMULAS.items() if not f.generic for k, i in f.inputs.items())
+    each = ", ".join(f"('{n}', '{k}', {i.back}, {str(i.optional).lower()})" for n, f in CALC.FORMULAS.items() if f.generic for k, i in f.inputs.items())
+    values = ", ".join(f"max(case when input = '{n}' then 1 end) as h_{n}, max(case when input = '{n}' then coalesce(value, case when optional then 0.0 end) end) as {n}" for n in names)
+    result = " ".join(f"when '{n}' then {f.expression.replace('/ abs(prior)', '/ nullif(abs(prior), 0)').replace('/ current_liabilities', '/ nullif(current_liabilities, 0)').replace('/ equity', '/ nullif(equity, 0)').replace('/ assets', '/ nullif(assets, 0)')}" for n, f in CALC.FORMULAS.items())
+
+    def gap(k: str, i: CALC.Input) -> str:
+        item = "metric" if i.item == CALC.METRIC else "'" + i.item.replace("'", "''") + "'"
+        return f"case when h_{k} is null then {item} || ' (FY' || (fy - {i.back}) || ')' when {k} is null then {item} || ' (FY' || (fy - {i.back}) || ' is nil)' end"
+
+    missing = " ".join(f"when '{n}' then concat_ws('; ', {', '.join(gap(k, i) for k, i in sorted(f.inputs.items()))})" for n, f in CALC.FORMULAS.items())
+    return f"""with {_LONG}, o as (select filing_id, statement, replace(line_item_norm, '_', ' ') as item, fy, value, chunk_id,
+  row_number() over (partition by filing_id, statement, replace(line_item_norm, '_', ' '), fy order by chunk_id) as k from long where line_item_norm is not null),
+once as (select * from o where k = 1), wanted(formula, statement, input, item, back, optional) as (values {wanted}), each(formula, input, back, optional) as (values {each}),
+found as (select filing_id, formula, statement, cast(null as varchar) as metric, fy + back as fy, input, optional, value from once join wanted using (statement, item)
+  union all select filing_id, formula, statement, item, fy + back, input, optional, value from once cross join each),
+wide as (select filing_id, formula, statement, metric, fy, {values} from found group by all),
+known as (select w.* from wide w semi join (select distinct filing_id, fy from once) y on w.filing_id is not distinct from y.filing_id and w.fy = y.fy),
+res as (select filing_id, fy, formula, statement, metric, case formula {missing} end as missing, case formula {result} end as result from known)
+select filing_id, cast(fy as integer) as fy, formula, statement, metric, missing, case when missing <> '' then 'missing_inputs' when result is null then 'error' else 'ok' end as status,
+  case when missing = '' then round(result, 4) end as result from res"""
+
+
+def _computed(spark: SparkSession, d: str) -> DataFrame:
+    """All formulas over the facts of each filing."""
+    long = _long(spark, d).select("filing_id", "statement", F.replace("line_item_norm", F.lit("_"), F.lit(" ")).alias("item"), "fy", "value", "chunk_id")
+    return CALC.compute(long, ["filing_id"])
+
+
+@R.add(_formula_sql())
 def ratio_calc(spark: SparkSession, d: str) -> DataFrame:
-    """Two ratios of each filing and year; optional inputs that are nil count as 0, others make the status missing."""
-    def most(pattern):
-        return F.max(F.when(F.col("line_item_norm").rlike(pattern), F.abs("value")))
-
-    m = _long(spark, d).groupBy("filing_id", "fy").agg(most("^cash").alias("cash"), most("^total current").alias("current"), most("^long[-_ ]term").alias("debt"))
-    status = F.when(F.col("cash").isNull() | F.col("current").isNull(), "missing_inputs").when(F.col("current") == 0, "error").otherwise("ok")
-    return m.select(
-        "filing_id", "fy", F.round(F.try_divide("cash", "current"), 6).alias("cash_ratio"), F.round(F.try_divide(F.coalesce("debt", F.lit(0)) + F.col("current"), F.col("cash")), 6).alias("debt_cover"), status.alias("status")
-    )
+    """Seven named formulas and the change on the year of each line item, for each filing and year; absent inputs are named."""
+    r = _computed(spark, d)
+    return r.select("filing_id", "fy", "formula", "statement", "metric", F.array_join("missing", "; ").alias("missing"), "status", F.round("result", 4).alias("result"))
+
+
+@R.add()
+def calc_working(spark: SparkSession, d: str) -> DataFrame:
+    """The results that could be computed, as text with their working: a line an input with its source chunk."""
+    r = CALC.working(_computed(spark, d).where("status = 'ok'"))
+    return r.select("filing_id", "fy", "formula", "statement", "metric", "shown", F.array_join("lines", "\n").alias("working"), F.transform("inputs", lambda i: i["chunk_id"]).alias("sources"))
+
+
+@R.add(r"""with q as (select distinct id, lower(question) as t from golden where question is not null), c(formula, generic, cue) as (values """ + ", ".join(f"('{n}', {str(f.generic).lower()}, '{c}')" for n, f in CALC.FORMULAS.items() for c in f.cues) + """),
+h as (select distinct id, formula, generic from q join c on contains(t, cue)), n as (select id, bool_or(not generic) as named from h group by id) select h.id, h.formula from h join n using (id) where h.generic <> n.named""")
+def formula_cues(spark: SparkSession, d: str) -> DataFrame:
+    """The formulas that each question asks for."""
+    return CALC.select_formulas(table(spark, d, "golden").select("id", "question").distinct())
+
 
+_PRINTED = r"""printed as (select chunk_id, [case regexp_extract(document, '(\S+) \(FY' || y || '\)', 1) when '' then 'none' else regexp_extract(document, '(\S+) \(FY' || y || '\)', 1) end for y in [2026, 2025, 2024]] as t from f),
+amounts as (select chunk_id, t, [try_cast(replace(x, ',', '') as double) for x in t] as theirs from printed)"""
 
-@R.add("""with s as (select year(o_orderdate) as fy, l_returnflag, sum(cast(l_extendedprice as decimal(18, 2))) as part from lineitem join orders on l_orderkey = o_orderkey group by all),
-t as (select year(o_orderdate) as fy, sum(cast(l_extendedprice as decimal(18, 2))) as stated from lineitem join orders on l_orderkey = o_orderkey group by 1)
-select cast(t.fy as integer) as fy, cast(sum(part) as double) as parts, cast(any_value(stated) as double) as stated, abs(sum(part) - any_value(stated)) <= 0.5 as holds from s join t using (fy) group by t.fy""")
+
+@R.add(f"""with {_FACTS}, {_PRINTED} select chunk_id, case when list_contains(t, 'none') then 'missing' when value_fy2026 is not distinct from theirs[1] and value_fy2025 is not distinct from theirs[2] and value_fy2024 is not distinct from theirs[3] then 'holds' else 'fails' end as status from f join amounts using (chunk_id)""")
 def identity_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the parts of each year add up to its total: both levels from one rollup of one scan."""
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_extendedprice").cast("decimal(18,2)").alias("x"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("fy"))
-    sums = items.join(orders, "l_orderkey").groupingSets([[F.col("fy"), F.col("l_returnflag")], [F.col("fy")]], "fy", "l_returnflag").agg(F.sum("x").alias("s"), F.grouping("l_returnflag").alias("g"))
-    per = sums.groupBy("fy").agg(F.sum(F.when(F.col("g") == 0, F.col("s"))).alias("parts"), F.max(F.when(F.col("g") == 1, F.col("s"))).alias("stated"))
-    return per.select("fy", F.col("parts").cast("double").alias("parts"), F.col("stated").cast("double").alias("stated"), (F.abs(F.col("parts") - F.col("stated")) <= 0.5).alias("holds"))
+    """Whether the amounts recorded of a fact are those its text states: one unit off fails, nil must be nil."""
+    f = _facts(spark, d)
+    text = [F.regexp_extract("document", rf"(\S+) \(FY{y}\)", 1) for y in YEARS]
+    same = F.lit(True)
+    for y, t in zip(YEARS, text):
+        same = same & F.col(f"value_fy{y}").eqNullSafe(F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
+    none = text[0].isNull() | (text[0] == "") | (text[1] == "") | (text[2] == "")
+    return f.select("chunk_id", F.when(none, "missing").when(same, "holds").otherwise("fails").alias("status"))
+
+
+_CELLS = r"""t as (select distinct chunk_id, document from chunks where modality = 'table' and document is not null),
+lines as (select chunk_id, unnest(string_split(document, chr(10))) as line, generate_subscripts(string_split(document, chr(10)), 1) as row_no from t),
+cells as (select chunk_id, row_no, unnest([trim(w) for w in string_split(substr(trim(line), 2, length(trim(line)) - 2), '|')]) as cell, generate_subscripts(string_split(substr(trim(line), 2, length(trim(line)) - 2), '|'), 1) as col_no from lines where trim(line) like '|%|')"""
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the printed tables: chunk_id, row_no, col_no, cell."""
+    t = table(spark, d, "chunks").where("modality = 'table' and document is not null").select("chunk_id", "document").distinct()
+    lines = t.select("chunk_id", F.posexplode(F.split("document", "\n")).alias("row_no", "line")).withColumn("line", F.trim("line"))
+    lines = lines.where(F.col("line").startswith("|") & F.col("line").endswith("|") & (F.length("line") >= 2))
+    inner = F.split(F.expr("substring(line, 2, length(line) - 2)"), "[|]")
+    return lines.select("chunk_id", (F.col("row_no") + 1).alias("row_no"), F.posexplode(inner).alias("col_no", "cell")).select("chunk_id", "row_no", (F.col("col_no") + 1).alias("col_no"), F.trim("cell").alias("cell"))
+
+
+def _statement_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the printed tables as statements: table_id, row_no, label, values; the heading and its rule left out."""
+    c = _cells(spark, d).where("row_no > 3").select("chunk_id", "row_no", "col_no", "cell", X.parse_amount(F.col("cell")).alias("p"))
+    cells = F.array_sort(F.collect_list(F.when((F.col("col_no") > 1) & (F.col("p.status") != "text"), F.struct("col_no", F.col("p.value").alias("v")))))
+    rows = c.groupBy("chunk_id", "row_no").agg(F.max(F.when(F.col("col_no") == 1, F.col("cell"))).alias("label"), F.transform(cells, lambda x: x["v"]).alias("values"))
+    return rows.select(F.col("chunk_id").alias("table_id"), "row_no", "label", "values")
+
+
+@R.add()
+def statement_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the printed tables with their group by the state machine of a balance sheet."""
+    return ST.balance_groups(_statement_rows(spark, d)).select("table_id", "row_no", "label_norm", "group", "values")
+
+
+@R.add(rf"""with {_CELLS}, n as (select chunk_id, row_no, col_no, case when col_no = 1 then trim(regexp_replace(regexp_replace(lower(cell), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) end as label,
+ case when col_no > 1 then try_cast(case when regexp_matches(cell, '^\(.*\)$') then '-' || replace(replace(cell[2:-2], ',', ''), '$', '') else replace(replace(cell, ',', ''), '$', '') end as double) end as v from cells where row_no > 3),
+r as (select chunk_id, row_no, max(label) as label from n group by all), l as (select chunk_id, row_no, label, regexp_replace(label, ' (total|net|gross)$', '') as item from r),
+s as (select l.chunk_id, l.item, n.col_no, max(case when l.label like '% total' then 1 else 0 end) as has_total, sum(case when l.label like '% total' then coalesce(v, 0) else 0 end) as stated, sum(case when l.label like '% total' then 0 else coalesce(v, 0) end) as computed,
+ sum(case when l.label not like '% total' then 1 else 0 end) as parts from l join n on l.chunk_id = n.chunk_id and l.row_no = n.row_no where n.col_no > 1 group by all)
+select chunk_id, item, cast(col_no as integer) as col_no, round(stated, 4) as stated, round(computed, 4) as computed, abs(stated - computed) < 0.5 as holds from s where has_total = 1 and parts > 0""")
+def stated_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The totals that a printed table states of a line item, against the sums of its other rows of that item, by column."""
+    c = _cells(spark, d).where("row_no > 3")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower("cell"), "[^a-z0-9 ]", ""), " +", " "))
+    labels = c.where("col_no = 1").select("chunk_id", "row_no", clean.alias("label"))
+    amounts = c.where("col_no > 1").select("chunk_id", "row_no", "col_no", F.coalesce(X.parse_amount(F.col("cell"))["value"], F.lit(0.0)).alias("v"))
+    rows = amounts.join(labels.select("chunk_id", "row_no", F.col("label").endswith(" total").alias("total"), F.regexp_replace("label", " (total|net|gross)$", "").alias("item")), ["chunk_id", "row_no"])
+    sums = rows.groupBy("chunk_id", "item", "col_no").agg(
+        F.max("total").alias("has_total"), F.sum(F.when(F.col("total"), F.col("v")).otherwise(0.0)).alias("stated"), F.sum(F.when(F.col("total"), 0.0).otherwise(F.col("v"))).alias("computed"), F.sum((~F.col("total")).cast("int")).alias("parts")
+    )
+    return sums.where("has_total and parts > 0").select("chunk_id", "item", "col_no", F.round("stated", 4).alias("stated"), F.round("computed", 4).alias("computed"), (F.abs(F.col("stated") - F.col("computed")) < 0.5).alias("holds"))
 
 
 @R.add("""with s as (select l_orderkey, sum(cast(l_extendedprice as decimal(18, 2))) as parts, count(*) as n from lineitem group by 1)
@@ -120,20 +209,6 @@ def normalize_label(spark: SparkSession, d: str) -> DataFrame:
     return _facts(spark, d).select("chunk_id", X.normalise_label(F.col("line_item")).alias("label"))
 
 
-_CELLS = r"""t as (select distinct chunk_id, document from chunks where modality = 'table' and document is not null),
-lines as (select chunk_id, unnest(string_split(document, chr(10))) as line, generate_subscripts(string_split(document, chr(10)), 1) as row_no from t),
-cells as (select chunk_id, row_no, unnest([trim(w) for w in string_split(substr(trim(line), 2, length(trim(line)) - 2), '|')]) as cell, generate_subscripts(string_split(substr(trim(line), 2, length(trim(line)) - 2), '|'), 1) as col_no from lines where trim(line) like '|%|')"""
-
-
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of the printed tables: chunk_id, row_no, col_no, cell."""
-    t = table(spark, d, "chunks").where("modality = 'table' and document is not null").select("chunk_id", "document").distinct()
-    lines = t.select("chunk_id", F.posexplode(F.split("document", "\n")).alias("row_no", "line")).withColumn("line", F.trim("line"))
-    lines = lines.where(F.col("line").startswith("|") & F.col("line").endswith("|") & (F.length("line") >= 2))
-    inner = F.split(F.expr("substring(line, 2, length(line) - 2)"), "[|]")
-    return lines.select("chunk_id", (F.col("row_no") + 1).alias("row_no"), F.posexplode(inner).alias("col_no", "cell")).select("chunk_id", "row_no", (F.col("col_no") + 1).alias("col_no"), F.trim("cell").alias("cell"))
-
-
 @R.add(f"with {_CELLS} select chunk_id, count(distinct row_no) as n_rows, cast(max(col_no) as integer) as n_cols, sum(case when cell = '' then 1 else 0 end)::bigint as empty_cells from cells group by chunk_id")
 def grid_rows(spark: SparkSession, d: str) -> DataFrame:
     """Size of the printed tables."""
@@ -228,12 +303,12 @@ def overlap_link(spark: SparkSession, d: str) -> DataFrame:
     return best.select("figure_id", F.col("b.table_id").alias("table_id"), (-F.col("b.s")).alias("shared"))
 
 
-@R.add(f"""with {_FACTS}, a as (select filing_id, line_item, chunk_id, row_number() over (partition by filing_id, line_item order by page nulls first, chunk_id) as k from f),
-e as (select distinct filing_id, section as line_item, element_id, order_no from elements where type = 'table'), t as (select filing_id, chunk_id as table_id, page, row_number() over (partition by filing_id order by page nulls first, chunk_id) as k from (select distinct filing_id, chunk_id, page from chunks where modality = 'table'))
-select a.chunk_id, t.table_id, cast(a.k as integer) as k from a join t on a.filing_id = t.filing_id and a.k = t.k""")
+@R.add()
 def crosscheck_cells(spark: SparkSession, d: str) -> DataFrame:
-    """The k-th occurrence of a line item matched with the k-th table of its filing."""
-    a = _facts(spark, d).select("filing_id", "line_item", "chunk_id", F.row_number().over(Window.partitionBy("filing_id", "line_item").orderBy("page", "chunk_id")).alias("k"))
-    t = table(spark, d, "chunks").where("modality = 'table'").select("filing_id", F.col("chunk_id").alias("table_id"), "page").distinct()
-    t = t.withColumn("k", F.row_number().over(Window.partitionBy("filing_id").orderBy("page", "table_id")))
-    return a.join(t.select("filing_id", "table_id", "k"), ["filing_id", "k"]).select("chunk_id", "table_id", "k")
+    """Facts against the printed tables of their parent: the k-th row of a label meets the k-th, and cells are compared in thousands marks, signs and nil."""
+    facts = table(spark, d, "chunks").where("modality = 'row_fact' and parent_id is not null").select("chunk_id", "parent_id", "page", "line_item", *[f"value_fy{y}" for y in YEARS]).distinct()
+    mine = facts.select(F.col("parent_id").alias("table_id"), "chunk_id", F.row_number().over(Window.partitionBy("parent_id").orderBy("page", "chunk_id")).alias("row_no"), ST.label_key(F.col("line_item")).alias("label_norm"), F.array(*[f"value_fy{y}" for y in YEARS]).alias("values"))
+    parts = table(spark, d, "chunks").where("modality = 'table' and parent_id is not null").select(F.col("chunk_id").alias("table_id"), "parent_id", "table_part").distinct()
+    theirs = _statement_rows(spark, d).join(parts, "table_id").select(F.col("parent_id").alias("table_id"), (F.coalesce("table_part", F.lit(0)) * 100_000 + F.col("row_no")).alias("row_no"), ST.label_key(F.regexp_replace("label", r"(?i)\s*(\((net|gross)\)|total)\s*$", "")).alias("label_norm"), "values")
+    found = ST.compare_cells(mine.drop("chunk_id"), theirs)
+    return found.join(mine.select("table_id", "row_no", "chunk_id"), ["table_id", "row_no"]).select("chunk_id", "table_id", "label_norm", "agree", F.size("differing").alias("differing"))
