@@ -2,14 +2,20 @@
 
 Each pair is read once: emptiness, copies, unfinished ends and the languages of
 both sides are found from the pair alone.  Refusals are found from the corpus:
-the openings of answers that bring no evidence (no figure) are reduced to
-templates, equal templates are counted, similar ones are clustered by verified
-MinHash, and a cluster is a refusal template if it recurs over unrelated prompts
-and its wording declines.
-
-Defined cases: a null answer is empty; a null question has no language and can't
-be copied; repeated rows give one row; each pair gets at most one defect, in the
-order empty, copy, truncated, refusal, other_language.
+the openings of answers that bring no evidence (neither a figure nor the statement
+that there is nothing) are reduced to templates, equal templates are counted, similar
+ones are clustered by verified MinHash of their runs of characters, and a cluster that
+recurs over unrelated prompts is a refusal, whatever its words.  How unrelated the
+prompts of a cluster are is measured: their mean pairwise Jaccard similarity, estimated
+by MinHash from counts.  Wording is a weak prior: where it declines, two prompts are
+enough, else ``LEAST_PROMPTS`` are needed; under one prompt alone nothing is a refusal.
+
+Openings have 3 to 20 words, so runs of five words could not link two wordings of one
+template; runs of ``RUN`` characters (2 in scripts without spaces) do.
+
+Defined cases: a null answer is empty; a null question has no language, can't be
+copied and is a prompt like any other; repeated rows give one row; each pair gets at
+most one defect, in the order empty, copy, truncated, refusal, other_language.
 """
 
 from __future__ import annotations
@@ -19,10 +25,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.minhash import classes, similar_pairs, word_shingles
+from ..operators.minhash import classes, similar_pairs, signature
 
 # --- fixed values: wording ---------------------------------------------------------------------
 PLACEHOLDERS = frozenset(
@@ -170,15 +176,17 @@ def opening(question: str | None, answer: str) -> str:
         names = [w for w in re.findall(r"[a-z][a-z'.]*", (question or "").casefold())]
         for w in names:
             text = text.replace(w, "")
-        return " ".join(c for c in text if c.isalpha())[:400]
-    return " ".join("_" if w in known and w not in _FUNCTION else w for w in _WORD.findall(text) if not w.isdigit())[:400]
+        return "".join(c for c in text if c.isalpha())
+    return " ".join("_" if w in known and w not in _FUNCTION else w for w in _WORD.findall(text) if not w.isdigit())
 
 
 _FUNCTION = frozenset(w for v in STOPWORDS.values() for w in v) | frozenset("i a an in not can't my me de la que ne pas no ich nicht".split())
 
 
 def has_evidence(question: str | None, answer: str) -> bool:
-    """Whether the answer has a figure that the question has not."""
+    """Whether the answer has a figure that the question has not, or states that there is nothing to tell of."""
+    if _BRIEF.fullmatch(answer.strip().rstrip(".!。")):
+        return True
     asked = set(re.findall(r"\d+(?:[.,]\d+)*", question or ""))
     return any(n not in asked for n in re.findall(r"\d+(?:[.,]\d+)*", answer))
 
@@ -201,7 +209,7 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 got = None if _AMOUNT.fullmatch(a.strip()) else language(bare if len(bare) > 12 else a)
                 foreign = want is not None and got is not None and want != got
                 plain = not has_evidence(q, a)
-                rows.append(("other_language" if foreign else None, opening(q, a) if plain else None, flat(q or "")[:400] if plain else None, plain, plain and bool(DECLINING.search(a.replace("’", "'")))))
+                rows.append(("other_language" if foreign else None, opening(q, a) if plain else None, flat(q or "") if plain else None, plain, plain and bool(DECLINING.search(a.replace("’", "'")))))
         part = pd.DataFrame(rows, columns=["defect", "opening", "prompt", "plain", "declines"])
         yield pd.concat([pdf[["pair_table", "pair_id"]].reset_index(drop=True), part], axis=1)
 
@@ -209,27 +217,61 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 SCHEMA = "pair_table string, pair_id string, defect string, opening string, prompt string, plain boolean, declines boolean"
 
 
-def refusal_templates(seen: DataFrame, least_prompts: int = 2) -> DataFrame:
+#: Runs of so many characters are compared, in scripts without spaces of 2.
+RUN = 4
+#: Least Jaccard similarity of two openings in one cluster.
+SIMILARITY = 0.5
+#: A template recurs if it answers so many unrelated prompts, or two of them where its wording declines.
+LEAST_PROMPTS = 3
+#: Prompts of a cluster are unrelated if their mean pairwise similarity is at most this.
+RELATED = 0.6
+#: MinHash values by which the similarity of prompts is estimated.
+PROMPT_HASHES = 16
+
+
+def character_runs(text: Column) -> Column:
+    """Hashes of the runs of characters of a text, or of the whole where it is shorter; distinct."""
+    n = F.when(text.rlike("[぀-ヿ一-鿿]"), 2).otherwise(RUN)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substr(text, i, n)))
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
+
+
+def prompt_similarity(prompts: DataFrame) -> DataFrame:
+    """``class, prompts, related``: the number of different prompts and their mean pairwise Jaccard similarity.
+
+    Two sets agree in a MinHash value with a chance of their similarity, so the share of
+    agreeing pairs, which counts by value give without forming a pair, estimates the mean.
+    """
+    once = prompts.groupBy("class", "prompt").agg(F.lit(1).alias("_1")).drop("_1")
+    hashed = once.select("class", F.posexplode(signature(character_runs(F.col("prompt")), PROMPT_HASHES)).alias("k", "v"))
+    agreeing = hashed.groupBy("class", "k", "v").agg(F.count("*").alias("n")).groupBy("class").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("_same"))
+    sizes = once.groupBy("class").agg(F.count("*").alias("prompts"))
+    pairs = F.col("prompts") * (F.col("prompts") - 1) * PROMPT_HASHES
+    return sizes.join(agreeing.hint("merge"), "class").select("class", "prompts", F.coalesce(F.try_divide(F.col("_same"), pairs), F.lit(1.0)).alias("related"))
+
+
+def refusal_templates(seen: DataFrame, least_prompts: int = LEAST_PROMPTS) -> DataFrame:
     """Openings of refusals among the inspected answers without evidence: ``opening``, ``class``.
 
     Equal openings are counted first (partial counts before the shuffle), so a template
     with a third of all rows is one row from then on; only distinct templates are compared.
     """
-    by_prompt = seen.where("plain").groupBy("opening", "prompt").agg(F.count("*").alias("n"), F.sum(F.col("declines").cast("int")).alias("declining"))
-    templates = by_prompt.groupBy("opening").agg(F.count("*").alias("prompts"), F.sum("n").alias("n"), F.sum("declining").alias("declining")).checkpoint()
-    tokens = F.split("opening", " ")
-    links = similar_pairs(templates.select("opening", word_shingles(tokens).alias("shingles")), "opening", "shingles")
-    clustered = templates.join(classes(templates, links, "opening"), "opening")
-    good = clustered.groupBy("class").agg(F.sum("prompts").alias("prompts"), F.sum("n").alias("n"), F.sum("declining").alias("declining"))
-    # A cluster seen under one prompt only still counts where all of its wording declines.
-    good = good.where(((F.col("prompts") >= least_prompts) & (F.col("declining") * 2 >= F.col("n"))) | (F.col("declining") == F.col("n")))
-    return clustered.join(good.select("class"), "class", "left_semi").select("opening", "class")
+    plain = seen.where(F.col("plain") & (F.col("opening") != ""))
+    templates = plain.groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("declines").cast("int")).alias("declining")).withColumn("id", F.xxhash64("opening")).checkpoint()
+    links = similar_pairs(templates.select("id", character_runs(F.col("opening")).alias("shingles")), "id", "shingles", bands=40, rows=2, similarity=SIMILARITY)
+    clustered = templates.join(classes(templates, links, "id").hint("merge"), "id").checkpoint()
+    met = plain.select("opening", F.coalesce("prompt", F.lit("")).alias("prompt")).distinct()
+    spread = prompt_similarity(met.join(clustered.select("opening", "class").hint("merge"), "opening"))
+    wording = clustered.groupBy("class").agg(F.sum("n").alias("n"), F.sum("declining").alias("declining"))
+    enough = F.when(F.col("declining") * 2 >= F.col("n"), 2).otherwise(least_prompts)
+    good = wording.join(spread.hint("merge"), "class").where((F.col("prompts") >= enough) & (F.col("related") <= RELATED))
+    return clustered.join(good.select("class").hint("merge"), "class", "left_semi").select("opening", "class")
 
 
 def broken_pairs(pairs: DataFrame) -> DataFrame:
     """``pair_table, pair_id, defect`` of each defective pair of ``pairs(pair_table, pair_id, question, answer)``."""
     seen = pairs.select("pair_table", "pair_id", "question", "answer").mapInPandas(_inspect, SCHEMA).checkpoint()
     refusals = refusal_templates(seen).withColumn("refusal", F.lit(True))
-    marked = seen.where(F.col("defect").isNotNull() | F.col("plain")).join(refusals, "opening", "left")
+    marked = seen.where(F.col("defect").isNotNull() | F.col("plain")).join(refusals.hint("merge"), "opening", "left")
     defect = F.when(F.col("refusal"), "refusal").otherwise(F.col("defect"))
     return marked.select("pair_table", "pair_id", defect.alias("defect")).where(F.col("defect").isNotNull()).distinct()

@@ -1,5 +1,8 @@
 import random
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from tessera.llm import mixture as M
 
 TARGETS = "source string, target_share double, max_repeats int"
@@ -62,3 +65,28 @@ def test_equal_rows_and_a_given_budget(spark):
     rows = [(1, "a", 10), (1, "a", 10), (2, "b", 10)]
     t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], TARGETS)
     assert sum(r["n_tokens"] for r in M.mix(sizes(spark, rows), t, budget=20).collect()) <= 20
+
+
+def test_an_exhausted_source_leaves_the_budget_to_the_others(spark):
+    rows = [(1, "small", 10)] + [(100 + i, "large", 10) for i in range(100)]
+    t = spark.createDataFrame([("small", 0.9, 1), ("large", 0.1, 1)], TARGETS)
+    got = M.mix(sizes(spark, rows), t, budget=500).collect()
+    assert sum(r["n_tokens"] for r in got) == 500 and max(r["position"] for r in got) == 500
+    assert sum(r["n_tokens"] for r in M.mix(sizes(spark, rows), t, budget=5000).collect()) == 1010
+
+
+@given(st.lists(st.tuples(st.floats(0.01, 1), st.lists(st.integers(1, 60), min_size=1, max_size=12)), min_size=1, max_size=5), st.integers(1, 600))
+def test_no_copy_within_the_budget_finishes_after_the_horizon(sources, budget):
+    every = sum(w for w, _ in sources)
+    copies = []
+    for k, (w, docs) in enumerate(sources):
+        run = 0
+        for n in docs:
+            run += n
+            copies.append((run / (w / every), k, n))
+    end = M.horizon([(w / every, float(sum(docs)), float(max(docs))) for w, docs in sources], budget) * (1 + 1e-9)
+    total = 0
+    for finish, _, n in sorted(copies):
+        total += n
+        if total <= budget:
+            assert finish <= end
