@@ -4,13 +4,14 @@ Every value is brought to the common unit of its dimension.  A recorded unit is
 read with a lexicon of spellings.  Where the unit is missing or useless, a
 random forest predicts it from the size of the value and of its neighbours, the
 source, the category and the unit words of the text around it; its confidence is
-calibrated on held-out rows, confident assignments are converted and the rest
-goes to review.  Where the text spells a unit out in full, that is checked last
-and wins over the forest.
+calibrated on held-out rows.  The forest alone names the unit: a confident prediction
+is converted, an unsure one only if an exact check bears it out (the text spells the
+predicted unit in full), and a prediction that the text contradicts, like all others,
+goes to review.
 
 Defined cases: null, NaN and infinite values give no row; null, blank and unknown units count as
 missing; repeated rows give one row; extra columns are ignored; without labelled
-rows there is no forest, and only units spelt in the text are assigned.
+rows there is no forest, and every missing unit goes to review.
 """
 
 from __future__ import annotations
@@ -61,10 +62,12 @@ UNIT_WORDS = (
     r"basis|\bbps?\b", r"fraction|ratio", r"dollar|usd|\$|美元", r"kilowatt|\bkwh", r"megawatt|\bmwh", r"gigawatt|\bgwh", r"gigajoule|\bgj", r"terajoule|\btj",
     r"kilogram|\bkg\b", r"metric ton|\btonnes|^t$", r"kilotonne|\bkt\b", r"\blbs?\b|pound", r"short ton", r"square.?met|sqm|m2", r"square feet|sq ft|ft2|\bk?sf\b", r"hectare|\bha\b", r"acres|\bac\b",
 )
-#: The forest is fitted on at most this many labelled rows, the least by hash of the id.
-SAMPLE_ROWS = 6000
+#: The forest is fitted on about this many labelled rows of each unit at most, by hash of the id, so that rare units are learned too.
+SAMPLE_ROWS = 400
 CONFIDENT = 0.9
-TREES, DEPTH = 16, 9
+TREES, DEPTH = 24, 14
+#: Binary digits of a hash that tell categories, and sources, apart.
+CATEGORY_BITS, SOURCE_BITS = 12, 6
 NAMES = tuple(UNITS)
 
 _SPELLINGS = {s: name for name, (_, _, spellings) in UNITS.items() for s in spellings.split("|")}
@@ -95,14 +98,14 @@ def _features(value: Column, phrase: Column) -> Column:
     decimals = F.length(F.regexp_extract(F.format_string("%.6f", F.abs(value)), r"\.(\d*?)0*$", 1)).cast("double")
     category = F.lower(F.coalesce("category", F.lit("")))
     words = [F.coalesce(F.lower(phrase).rlike(w), F.lit(False)).cast("double") for w in UNIT_WORDS]
-    kinds = [
-        category.rlike(p).cast("double")
-        for p in (r"per share", r"shares", r"rate|margin|attrition|turnover", r"space|land", r"electric|heat|energy|power", r"carbon|copper|waste|mass|emitted", r"dividend|earnings")
-    ]
-    source = F.coalesce("source", F.lit(""))
-    places = [(F.pmod(F.xxhash64(source), F.lit(8)) == k).cast("double") for k in range(4)]
+    kinds = [category.rlike(p).cast("double") for p in (r"per share", r"shares", r"rate|margin|turnover|percent", r"space|land|area|floor", r"electric|heat|energy|power", r"emitted|waste|mass|weight")]
+    # A tree can tell any category from any other by the digits of its hash.
+    places = [F.pmod(F.shiftright(F.xxhash64(F.regexp_replace(category, r"\(.*?\)", "")), n), F.lit(2)).cast("double") for n in range(CATEGORY_BITS)]
+    places += [F.pmod(F.shiftright(F.xxhash64(F.coalesce("source", F.lit(""))), n), F.lit(2)).cast("double") for n in range(SOURCE_BITS)]
+    near = F.abs(F.coalesce("neighbour", F.lit(0.0)))
+    ratio = F.when((near == 0) | (value == 0), F.lit(0.0)).otherwise(F.log10(F.abs(value)) - F.log10(near))
     before = F.when(F.coalesce("neighbour", F.lit(0.0)) == 0, F.lit(0.0)).otherwise(F.log10(F.abs("neighbour")))
-    return F.array(size, decimals, (value < 0).cast("double"), before, *kinds, *places, F.coalesce(phrase, F.lit("")).__eq__("").cast("double"), *words)
+    return F.array(size, decimals, (value < 0).cast("double"), before, ratio, *kinds, *places, F.coalesce(phrase, F.lit("")).__eq__("").cast("double"), *words)
 
 
 def prepare(items: DataFrame) -> DataFrame:
@@ -119,8 +122,11 @@ class UnitForest:
     """A random forest over labelled rows with calibrated confidence."""
 
     def __init__(self, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> None:
-        order = F.xxhash64("item_table", "item_id")
-        sample = labelled.select("item_table", "item_id", "value", "unit", "category", "source", "neighbour", "recorded").orderBy(order, "item_id", "value").limit(sample_rows)
+        columns = ["item_table", "item_id", "value", "unit", "category", "source", "neighbour", "recorded"]
+        # One row a unit: what share of its rows makes about ``sample_rows``.
+        shares = labelled.groupBy("recorded").agg((F.lit(float(sample_rows)) / F.count("*")).alias("_share"))
+        place = F.pmod(F.xxhash64("item_id", "item_table", F.lit(seed)), F.lit(1_000_000)) / 1e6
+        sample = labelled.select(*columns).join(F.broadcast(shares), "recorded").where(place < F.col("_share")).select(*columns)
         fold = F.pmod(F.xxhash64("item_id", F.lit(1)), F.lit(10))
         # A fifth of the rows hides its unit words, so that size, category and source must do.
         words = F.when(F.pmod(F.xxhash64("item_id", F.lit(2)), F.lit(5)) > 0, F.col("unit"))
@@ -158,7 +164,7 @@ class UnitForest:
 
 
 def resolve(items: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The unit of every value: ``resolved``, how it was found (``by``: recorded, text, forest or review)."""
+    """The unit of every value: ``resolved``, how it was found (``by``: recorded, forest, checked, review)."""
     use_shared_folder(items.sparkSession)
     ready = prepare(items)
     known = ready.where(F.col("recorded").isNotNull())
@@ -166,8 +172,9 @@ def resolve(items: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     asked = ready.where(F.col("recorded").isNull()).checkpoint()
     missing = UnitForest(known, sample_rows).predict(asked).checkpoint()
     sure = (F.col("confidence") >= CONFIDENT) & F.col("predicted").isNotNull()
-    by = F.when(sure & (F.col("spelt").isNull() | (F.col("spelt") == F.col("predicted"))), "forest").when(F.col("spelt").isNotNull(), "text").otherwise("review")
-    unit = F.when(by == "forest", F.col("predicted")).when(by == "text", F.col("spelt"))
+    fits, silent = F.col("spelt") == F.col("predicted"), F.col("spelt").isNull()
+    by = F.when(sure & (silent | fits), "forest").when(fits, "checked").otherwise("review")
+    unit = F.when(by != "review", F.col("predicted"))
     columns = ["item_table", "item_id", "value", "category"]
     found = missing.select(*columns, unit.alias("resolved"), by.alias("by"), "predicted", "confidence")
     return known.select(*columns, F.col("recorded").alias("resolved"), F.lit("recorded").alias("by"), F.lit(None).cast("string").alias("predicted"), F.lit(None).cast("double").alias("confidence")).unionByName(found)

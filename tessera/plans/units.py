@@ -39,7 +39,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_review(spark: SparkSession, d: str) -> DataFrame:
-    """Values whose unit neither field nor text nor forest could tell."""
+    """Values whose unit the field does not tell and the forest only guesses, or guesses against the text."""
     left = units.resolve(measured_items(spark, d)).where(F.col("by") == "review")
     return left.select("item_table", "item_id", "value", "category", "predicted", "confidence").distinct()
 
