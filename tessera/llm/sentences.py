@@ -5,10 +5,13 @@ The splitter works in two layers.
 * Layout: lines are grouped into paragraphs; headings, speaker lines, list
   items and table rows are units of their own, other line breaks are ignored.
 * Prose: a semi-Markov dynamic programme chooses whole spans between candidate
-  cuts.  The score of a span adds up its length, the word that opens it and the
-  word and mark that close it; a span that would hold half a quotation or bracket
-  is not feasible.  Spans are scored jointly, so a doubtful cut is taken only
-  where the spans on both sides gain.
+  cuts.  ``span_score`` adds up the word and mark that close a span, the word that
+  opens it, its length and whether it holds an odd number of quotation marks or
+  brackets without partner; a span that would hold half a matched quotation is not
+  feasible.  Spans are scored jointly, so a doubtful cut is taken only where the
+  spans on both sides gain by it.  All spans compete, however long: as the score
+  depends on the length by class and on the marks by parity, the best start of each
+  span is a sliding maximum, and the work is linear in the text.
 
 Defined cases: null, empty and blank texts (also texts made only of invisible
 format characters) have no units; repeated rows of one item give its units
@@ -18,6 +21,7 @@ once; extra input columns are ignored.  Whole texts are read at any length.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,23 +66,24 @@ _CJK_STOPS = frozenset("。！？｡")
 _QUOTE_CLOSERS = frozenset("”」』’\"»》")
 
 
-def _quoted(text: str, s: int, e: int) -> list[tuple[int, int]]:
-    """Outermost matched quotations and brackets of a segment, as (open, close)."""
+def _quoted(text: str, s: int, e: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Outermost matched quotations and brackets of a segment, as (open, close), and the marks that found no partner."""
     stack: list[tuple[str, int]] = []
     pairs: list[tuple[int, int]] = []
+    alone: list[int] = []
     for m in _PAIRS.finditer(text, s, e):
         c, k = m.group(), m.start()
         if c == '"':
             if any(o == '"' for o, _ in stack):
                 while stack[-1][0] != '"':
-                    stack.pop()
+                    alone.append(stack.pop()[1])
                 pairs.append((stack.pop()[1], k))
             else:
                 stack.append((c, k))
             continue
         if c == "“" and any(o == "„" for o, _ in stack):
             while stack[-1][0] != "„":
-                stack.pop()
+                alone.append(stack.pop()[1])
             pairs.append((stack.pop()[1], k))
             continue
         if c == "’" and 0 < k < len(text) - 1 and text[k - 1].isalpha() and text[k + 1].isalpha():
@@ -87,17 +92,18 @@ def _quoted(text: str, s: int, e: int) -> list[tuple[int, int]]:
             stack.append((c, k))
         elif any(c in OPENERS.get(o, "") for o, _ in stack):
             while c not in OPENERS.get(stack[-1][0], ""):
-                stack.pop()
+                alone.append(stack.pop()[1])
             pairs.append((stack.pop()[1], k))
-    if not pairs:
-        return pairs
+        else:
+            alone.append(k)
+    alone += [k for _, k in stack]
     pairs.sort()
     outer, reach = [], -1
     for a, b in pairs:
         if b > reach:
             outer.append((a, b))
             reach = b
-    return outer
+    return outer, sorted(alone)
 
 
 def _opening(text: str, q: int, e: int) -> str:
@@ -114,7 +120,7 @@ def _opening(text: str, q: int, e: int) -> str:
     return "letter" if c.isalpha() else "other"
 
 
-def _full_stop(text: str, s: int, e: int, at: int, end: int, q: int) -> float:
+def _full_stop(text: str, s: int, e: int, at: int, end: int, q: int, partner: dict[int, int]) -> float:
     """Score of closing a span with a full stop at ``at``; ``q`` is the next visible character."""
     m = _WORD_BEFORE.search(text, max(s, at - 40), at)
     word = m.group() if m else ""
@@ -146,28 +152,31 @@ def _full_stop(text: str, s: int, e: int, at: int, end: int, q: int) -> float:
     if low in INNER_ABBREVIATIONS or len(word) == 1 and word.isalpha():
         return -6.0
     if kind == "open" and text[q] in "(（[":  # a bracketed sentence, or a remark on what stands before?
-        shut = text.find(OPENERS[text[q]], q, e)
+        shut = partner.get(q, 0)
         if shut > 0 and text[shut - 1] not in ".!?…":
             return -6.0
     if low in EITHER_ABBREVIATIONS or "." in word[:-1] and len(word) <= 5 and word.replace(".", "").isalpha():
         return -6.0 if text.startswith(COMPANY_WORDS, q) and kind == "upper" else 2.0
     if _NUMBER.fullmatch(word):
-        head = text[s : at - len(word)].rstrip()
-        if not head:
+        head = at - len(word)
+        while head > s and text[head - 1].isspace():
+            head -= 1
+        if head == s:
             return -8.0
         if len(word) <= 2:
             if text.startswith(GERMAN_MONTHS, q):
                 return -6.0
-            lead = head[head.rfind(" ") + 1 :].lower()
+            lead = text[max(s, text.rfind(" ", max(s, head - 40), head) + 1) : head].lower()
             if lead in ORDINAL_LEADS and kind == "upper":
                 return -5.0
         return 3.0
     return 3.0 if kind == "other" else 5.0
 
 
-def _cuts(text: str, s: int, e: int, closing: set[int]) -> list[tuple[int, float]]:
+def _cuts(text: str, s: int, e: int, partner: dict[int, int]) -> list[tuple[int, float]]:
     """Candidate cuts of a segment, each with the score of closing there and opening behind it."""
     out: list[tuple[int, float]] = []
+    closing = set(partner.values())
     for m in _MARK.finditer(text, s, e):
         mark = m.group()
         at = m.start()
@@ -187,7 +196,7 @@ def _cuts(text: str, s: int, e: int, closing: set[int]) -> list[tuple[int, float
         if _MARK.match(c):
             continue
         if mark == ".":
-            score = _full_stop(text, s, e, at, end, q)
+            score = _full_stop(text, s, e, at, end, q, partner)
         elif mark in _ELLIPSES:
             kind = _opening(text, q, e)
             if q == end:
@@ -226,18 +235,78 @@ def _cuts(text: str, s: int, e: int, closing: set[int]) -> list[tuple[int, float
     return out
 
 
-#: Cuts at or below this score are never worth a span of their own, whatever its other scores.
+#: Cuts at or below this score are left out beforehand: no length, opening or balance can make up for it (see ``span_score``).
 NEVER = -5.0
-#: Spans reach back over this many remaining cuts; the score of a longer span could not be the best.
-LOOK_BACK = 200
+#: Spans shorter than this, and longer, are unlikely sentences.
+SHORT, LONG = 3, 1200
+SHORT_SCORE, LONG_SCORE, LOWER_SCORE, ODD_SCORE = -8.0, -0.5, -1.0, -1.0
+
+
+def span_score(closing: float, opening: str, length: int, odd: bool) -> float:
+    """Score of a whole span: its closing word and mark, the kind of word that opens it, its length, and its marks without partner.
+
+    Beside ``closing``, splitting a span in two gains 0.5 at most (two of usual length for
+    one over ``LONG``; an odd span splits into an odd and an even one).
+    """
+    score = closing
+    if length < SHORT:
+        score += SHORT_SCORE
+    elif length > LONG:
+        score += LONG_SCORE
+    if opening == "lower":
+        score += LOWER_SCORE
+    return score + ODD_SCORE if odd else score
+
+
+def _best_spans(ends: list[int], closing: list[float], opening: list[str], marks: list[int]) -> list[int]:
+    """Indexes of the cuts of the best segmentation, each span scored by ``span_score``; of equals the shorter last span.
+
+    ``marks`` counts the marks without partner before each cut.  For a span's end its start
+    is the best of four sliding maxima (usual length or over ``LONG``, marks even or odd)
+    and the few starts less than ``SHORT`` before it.
+    """
+    n = len(ends)
+    best, back = [0.0] * n, [0] * n
+    usual: tuple[deque[int], deque[int]] = (deque(), deque())
+    far: list[int] = [-1, -1]
+    enter = leave = 0
+    for j in range(1, n):
+        while ends[j] - ends[enter] >= SHORT:
+            row = usual[marks[enter] & 1]
+            while row and best[row[-1]] + _open(opening[row[-1]]) <= best[enter] + _open(opening[enter]):
+                row.pop()
+            row.append(enter)
+            enter += 1
+        while leave < enter and ends[j] - ends[leave] > LONG:
+            p = marks[leave] & 1
+            if usual[p] and usual[p][0] == leave:
+                usual[p].popleft()
+            if far[p] < 0 or best[far[p]] + _open(opening[far[p]]) <= best[leave] + _open(opening[leave]):
+                far[p] = leave
+            leave += 1
+        starts = [row[0] for row in usual if row] + [i for i in far if i >= 0] + list(range(enter, j))
+        top, arg = -1e18, -1
+        for i in starts:
+            score = best[i] + span_score(closing[j], opening[i], ends[j] - ends[i], (marks[j] - marks[i]) % 2 == 1)
+            if score > top or score == top and i > arg:
+                top, arg = score, i
+        best[j], back[j] = top, arg
+    path, j = [], n - 1
+    while j > 0:
+        path.append(j)
+        j = back[j]
+    return path[::-1]
+
+
+def _open(kind: str) -> float:
+    return LOWER_SCORE if kind == "lower" else 0.0
 
 
 def _prose(text: str, s: int, e: int, out: list[tuple[int, int]]) -> None:
-    """Best segmentation of one prose segment into whole spans (Viterbi over spans)."""
-    quoted = _quoted(text, s, e)
-    cuts = _cuts(text, s, e, {b for _, b in quoted})
-    ends, gain, k = [s], [0.0], 0
-    for p, score in cuts:
+    """Best segmentation of one prose segment into whole spans."""
+    quoted, alone = _quoted(text, s, e)
+    ends, closing, k = [s], [0.0], 0
+    for p, score in _cuts(text, s, e, dict(quoted)):
         if score <= NEVER:
             continue
         while k < len(quoted) and quoted[k][1] < p:
@@ -245,36 +314,22 @@ def _prose(text: str, s: int, e: int, out: list[tuple[int, int]]) -> None:
         if k < len(quoted) and quoted[k][0] < p:  # both spans would hold half a quotation or bracket
             continue
         ends.append(p)
-        gain.append(score)
+        closing.append(score)
     ends.append(e)
-    gain.append(0.0)
-    n = len(ends)
-    if n == 2:
+    closing.append(0.0)
+    if len(ends) == 2:
         out.append((s, e))
         return
-    best = [0.0] * n
-    back = [0] * n
-    for j in range(1, n):
-        top, arg = -1e18, j - 1
-        for i in range(j - 1, max(-1, j - 1 - LOOK_BACK), -1):
-            length = ends[j] - ends[i]
-            score = best[i] + gain[j]
-            if length < 3:
-                score -= 8.0
-            elif length > 1200:
-                score -= 0.5
-            if score > top:
-                top, arg = score, i
-            if length > 1200 and i < j - 4:
-                break
-        best[j], back[j] = top, arg
-    path = []
-    j = n - 1
-    while j > 0:
-        path.append(j)
-        j = back[j]
+    opening, marks, k = [], [], 0
+    for p in ends:
+        while k < len(alone) and alone[k] < p:
+            k += 1
+        marks.append(k)
+        while p < e and text[p].isspace():
+            p += 1
+        opening.append(_opening(text, p, e) if p < e else "other")
     begin = s
-    for j in reversed(path):
+    for j in _best_spans(ends, closing, opening, marks):
         a, b = begin, ends[j]
         while a < b and text[a].isspace():
             a += 1

@@ -1,5 +1,9 @@
 import pytest
 
+from hypothesis import given
+from hypothesis import strategies as st
+
+from tessera.llm import sentences as N
 from tessera.llm.sentences import chunk_body, sentence_ends, sentence_spans, split_sentences
 
 
@@ -62,3 +66,33 @@ def test_operator(spark):
 def test_chunk_body(spark):
     df = spark.createDataFrame([("[a > b]\nBody\nx",), ("[no line",), ("plain\ntext",), (None,)], "document string")
     assert [r[0] for r in df.select(chunk_body("document")).collect()] == ["Body\nx", "[no line", "plain\ntext", None]
+
+
+@given(st.lists(st.tuples(st.integers(1, 900), st.integers(-9, 12), st.sampled_from(["lower", "upper"]), st.integers(0, 2)), min_size=1, max_size=14))
+def test_the_sliding_maxima_find_the_best_segmentation(cuts):
+    ends, closing, opening, marks = [0], [0.0], ["upper"], [0]
+    for step, score, kind, alone in cuts:
+        ends.append(ends[-1] + step)
+        closing.append(score / 2)
+        opening.append(kind)
+        marks.append(marks[-1] + alone)
+
+    def value(path):
+        return sum(N.span_score(closing[j], opening[i], ends[j] - ends[i], (marks[j] - marks[i]) % 2 == 1) for i, j in zip([0, *path], path))
+
+    best = [0.0] * len(ends)
+    for j in range(1, len(ends)):
+        best[j] = max(best[i] + N.span_score(closing[j], opening[i], ends[j] - ends[i], (marks[j] - marks[i]) % 2 == 1) for i in range(j))
+    path = N._best_spans(ends, closing, opening, marks)
+    assert path[-1] == len(ends) - 1 and abs(value(path) - best[-1]) < 1e-9
+
+
+def test_spans_are_scored_jointly():
+    # A doubtful cut is taken between two usual spans, not where it leaves a mark without partner on both sides.
+    assert N._best_spans([0, 40, 80], [0.0, 1.5, 0.0], ["upper", "upper", "other"], [0, 0, 0]) == [1, 2]
+    assert N._best_spans([0, 40, 80], [0.0, 1.5, 0.0], ["upper", "upper", "other"], [0, 1, 2]) == [2]
+
+
+def test_work_is_linear_in_one_long_paragraph():
+    text = 'In 2024 the board met 14 times. "We expect more, he said. Sales rose by 5 (see p. 4) to 12. '
+    assert len(N.sentence_spans(text * 4000)) >= 4000
