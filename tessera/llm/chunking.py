@@ -8,7 +8,9 @@ the others in place.
 
 Defined cases: null, empty and short items are not oversized and give no row;
 repeated rows give their item once; a text without any boundary is cut at its
-landmarks; a table row over the limit is cut like text.
+landmarks; a table row over the limit is cut like text.  A piece is shorter than
+``min_share`` of the limit only where no boundary lies between that and the limit,
+or at the end of the item.
 """
 
 from __future__ import annotations
@@ -108,8 +110,8 @@ def _pieces(text: str, cuts: list[tuple[int, int]], limit: int, overlap: int, sp
         near = max(fresh + 1, min(far, start + int(limit * spec.min_share)))
         i, j = np.searchsorted(positions, near), np.searchsorted(positions, far, side="right")
         landmark = near + int(np.argmax(marks[near : far + 1]))
-        if i == j:  # none in the usual region: take the nearest before it
-            i = np.searchsorted(positions, fresh + 1)
+        if i == j:  # none in the usual region: the last before it, so that the piece is as long as a boundary allows
+            i = max(np.searchsorted(positions, fresh + 1), j - 1)
         if i < j:
             best = kinds[i:j].min()
             here = positions[i:j][kinds[i:j] == best]

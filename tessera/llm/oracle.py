@@ -12,7 +12,7 @@ _LOG_G = repr(math.log(_G))
 _SKETCH = f"""
 with versions as (
   select usage_id, model, role, cast(ts as date) as day, latency_ms,
-         row_number() over (partition by usage_id, case when usage_id is null then hash(ts, request_id, ingestion_job, role, model, latency_ms) end
+         row_number() over (partition by usage_id, case when usage_id is null then hash(usage_records) end
                             order by received_at desc nulls last, ts desc nulls last, latency_ms desc nulls last, model desc nulls last, role desc nulls last) as version
   from usage_records
 ), measured as (select model, role, day, latency_ms from versions where version = 1 and latency_ms >= 0),

@@ -88,11 +88,10 @@ def measurements(usage: DataFrame) -> DataFrame:
 
     Records are told apart by ``usage_id``; of a re-sent record the version received
     last counts (ties: the greatest of its fields).  Rows without ``usage_id`` cannot
-    be matched and count once for each different content.  Null and negative
+    be matched and count once for each different content in any column.  Null and negative
     latencies are dropped after that choice.
     """
-    content = [c for c in ("ts", "request_id", "ingestion_job", "role", "model", "latency_ms") if c in usage.columns]
-    key = F.when(F.col("usage_id").isNull(), F.xxhash64(*content))
+    key = F.when(F.col("usage_id").isNull(), F.xxhash64(*usage.columns))
     slim = usage.select("usage_id", key.alias("_key"), F.struct("received_at", "ts", "latency_ms", "model", "role").alias("_v"))
     once = slim.groupBy("usage_id", "_key").agg(F.max("_v").alias("_v"))
     return once.select("_v.model", "_v.role", F.to_date("_v.ts").alias("day"), "_v.latency_ms").where(F.col("latency_ms") >= 0)

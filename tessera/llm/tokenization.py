@@ -30,6 +30,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: A worker forgets its pre-tokens when it holds this many (about 200 MB); results do not depend on it.
 CACHE_ENTRIES = 400_000
+#: A worker passes its rows on when it holds so many ids, so long texts do not pile up.
+FLUSH_IDS = 1_000_000
 
 
 def byte_characters() -> list[str]:
@@ -149,12 +151,14 @@ def encode_corpus(spark: SparkSession, documents: DataFrame, key: str = "doc_id"
         encode = worker_encoder(model.value).encode
         for batch in batches:
             flat: list[int] = []
-            offsets = [0]
-            for t in _texts(batch.column(1)):
+            offsets, begin = [0], 0
+            for n, t in enumerate(_texts(batch.column(1))):
                 flat += encode(t)
                 offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+                if len(flat) >= FLUSH_IDS or n == batch.num_rows - 1:
+                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n + 1 - begin), ids], names=[key, "ids"])
+                    flat, offsets, begin = [], [0], n + 1
 
     return documents.select(key, text).mapInArrow(work, f"{key} {kind}, ids array<int>")
 

@@ -51,6 +51,15 @@ def test_operator(spark):
     assert T.encode_corpus(spark, df.where("false")).count() == 0
 
 
+def test_long_batches_are_passed_on_in_parts(spark, monkeypatch):
+    rows = [(i, "Hello world " * (i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = {r["doc_id"]: r["ids"] for r in T.encode_corpus(spark, df).collect()}
+    code = T.encode_corpus
+    monkeypatch.setattr(T, "FLUSH_IDS", 5)
+    assert {r["doc_id"]: r["ids"] for r in code(spark, df).collect()} == whole and len(whole) == 200
+
+
 def test_ranks_must_be_whole():
     with pytest.raises(ValueError):
         T.serialise_model({b"a": 0, b"b": 2})
