@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import compression as Z
 from ..operators import minhash as M
+from ..operators import verification as V
 from ..session import use_shared_folder
 from ..sources.tables import table
-from .passages import _FEATURES, _NUM, _chunk_features
+from .passages import _NUM
 from .registry import Registry
 
 R = Registry()
@@ -25,7 +27,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 @R.add(rf"""with c as (select distinct entry_id, question, answer from cached_answers where answer is not null), n as (select entry_id, question, unnest(regexp_extract_all(regexp_replace(answer, '\[[^\[\]]*\]', ' ', 'g'), '{_NUM}')) as tok from c),
 p as (select entry_id, tok, contains(question, tok) as asked, try_cast(replace(replace(replace(tok, ',', ''), '$', ''), '%', '') as double) as x from n)
 select entry_id, count(*) as numbers, sum(case when coalesce(asked, false) or (x = floor(x) and x <= 31 and not contains(tok, ',') and not contains(tok, '$')) or (x = floor(x) and x between 1900 and 2100 and not contains(tok, '$')) then 0 else 1 end)::bigint as unmatched from p group by entry_id""")
-def verify_answers(spark: SparkSession, d: str) -> DataFrame:
+def question_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of each answer that the question does not give: years and small whole numbers prove nothing."""
     found = F.regexp_extract_all(F.regexp_replace("answer", r"\[[^\[\]]*\]", " "), F.lit(f"({_NUM})"), F.lit(1))
     n = _answers(spark, d).select("entry_id", "question", F.explode(found).alias("tok")).withColumn("x", F.regexp_replace("tok", "[$,%]", "").try_cast("double"))
@@ -78,26 +80,61 @@ def dedupe_merge(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("_k.kept", "copies", "_k.content")
 
 
-@R.add(f"""with {_FEATURES}, a as (select filing_id, chunk_id, tokens, case when modality = 'table' and tokens > 150 then 'row_select' when rank > 8 and modality = 'text' then 'drop' when 0.45 * noise + 0.25 * len_score + 0.20 * pressure + 0.10 * intent_w >= 0.55 and modality = 'text' then 'extract' else 'keep' end as action from x)
-select action, count(*) as chunks, cast(sum(tokens) as bigint) as before, cast(sum(case action when 'drop' then 0 when 'row_select' then ceil(tokens / 2) when 'extract' then least(tokens, 120) else tokens end) as bigint) as after from a where filing_id is not null group by action""")
+def _supports(spark: SparkSession, d: str) -> DataFrame:
+    """Each golden question with each chunk that supports it: id, question, answer, place, and the chunk's columns."""
+    asked = table(spark, d, "golden").where("question is not null").select("id", "question", F.col("reference_answer").alias("answer"), F.posexplode("supporting_chunk_ids").alias("place", "chunk_id")).distinct()
+    columns = ["chunk_id", "document", "filing_id", "page", "parent_id", "line_item", "value_fy2026", "value_fy2025", "value_fy2024"]
+    return asked.join(table(spark, d, "chunks").select(*columns).distinct(), "chunk_id")
+
+
+@R.add()
+def verify_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Reference answers against the chunks that support them: numbers no chunk gives at any scale, and citations of blocks that are not there."""
+    blocks = F.array_sort(F.collect_list(F.struct("place", "document")))
+    given = _supports(spark, d).where("answer is not null").groupBy("id", "question", "answer").agg(blocks.alias("b"))
+    given = given.withColumn("context", F.array_join("b.document", "\n")).withColumn("blocks", F.transform("b", lambda _, i: F.concat(F.lit("C"), (i + 1).cast("string"))))
+    checked = V.verify(given, "answer", "question", "context", "blocks")
+    return checked.select("id", "numbers_checked", F.size("unmatched").alias("unmatched"), F.size("invalid").alias("invalid"), F.array_join("issues", ",").alias("issues"), "passed")
+
+
+@R.add()
+def parts_answered(spark: SparkSession, d: str) -> DataFrame:
+    """The facts that support a question, as its parts, and how many of them the reference answer gives."""
+    value = F.array_compact(F.array(*[F.col(f"value_fy{y}") for y in (2026, 2025, 2024)]))
+    parts = _supports(spark, d).where("answer is not null").select("id", "chunk_id", "line_item", V.answered(F.col("answer"), value).alias("given"))
+    return parts.groupBy("id").agg(F.count("*").alias("parts"), F.sum(F.coalesce("given", F.lit(False)).cast("long")).alias("answered"), F.array_sort(F.collect_set(F.when(~F.coalesce("given", F.lit(False)), F.col("line_item")))).alias("left_out"))
+
+
+def _shortened(spark: SparkSession, d: str) -> DataFrame:
+    """Context of each question, shortened: the tables of its facts by rows, the texts on their pages by sentences."""
+    facts = _supports(spark, d).select("id", "question", "filing_id", "page", "parent_id", "line_item").distinct()
+    chunks = table(spark, d, "chunks").where("document is not null").select("chunk_id", "modality", "filing_id", "page", "parent_id", "document").distinct()
+    labels = facts.where("parent_id is not null").groupBy("id", "parent_id").agg(F.collect_set("line_item").alias("labels"))
+    tables = labels.join(chunks.where("modality = 'table'").select("chunk_id", "parent_id", F.col("document").alias("body")), "parent_id")
+    tables = tables.withColumn("r", Z.row_select(F.col("body"), F.col("labels"))).select("id", "chunk_id", F.lit("row_select").alias("action"), "body", F.col("r.text").alias("short"), F.col("r.kept").alias("kept"), F.col("r.rows").alias("parts"))
+    pages = facts.select("id", "question", "filing_id", "page").distinct()
+    texts = pages.join(chunks.where("modality = 'text'").select("chunk_id", "filing_id", "page", F.expr("substring(document, instr(document, '\n') + 1)").alias("body")), ["filing_id", "page"])
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({_TOKENS})"), F.lit(0)))
+    texts = texts.withColumn("s", F.filter(F.split("body", r"(?<=[.!?])\s+|(?<=[。！？])|\n+"), lambda x: F.trim(x) != "")).withColumn("q", words(F.col("question")))
+    texts = texts.withColumn("scores", F.transform("s", lambda x: F.size(F.array_intersect(words(x), "q")) / F.greatest(F.size("q"), F.lit(1))))
+    texts = texts.withColumn("i", Z.select_sentences(F.col("scores"), 0.25))
+    texts = texts.select("id", "chunk_id", F.lit("extract").alias("action"), "body", Z.join_sentences(F.col("s"), F.col("i")).alias("short"), F.size("i").alias("kept"), F.size("s").alias("parts"))
+    out = tables.unionByName(texts).withColumn("g", Z.guarded(F.col("short"), F.col("body")))
+    return out.select("id", "chunk_id", "action", "body", F.col("g.text").alias("text"), F.col("g.reverted").alias("reverted"), "kept", "parts")
+
+
+@R.add()
 def compress_apply(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens before and after the chosen actions."""
-    x = _chunk_features(spark, d).where("filing_id is not null")
-    score = F.lit(0.45) * F.col("noise") + F.lit(0.25) * F.col("len_score") + F.lit(0.20) * F.col("pressure") + F.lit(0.10) * F.col("intent_w")
-    text = F.col("modality") == "text"
-    action = F.when(~text & (F.col("tokens") > 150), "row_select").when((F.col("rank") > 8) & text, "drop").when((score >= 0.55) & text, "extract").otherwise("keep")
-    after = F.when(F.col("action") == "drop", 0).when(F.col("action") == "row_select", F.ceil(F.col("tokens") / 2)).when(F.col("action") == "extract", F.least("tokens", F.lit(120))).otherwise(F.col("tokens"))
-    return x.withColumn("action", action).groupBy("action").agg(F.count("*").alias("chunks"), F.sum("tokens").cast("long").alias("before"), F.sum(after).cast("long").alias("after"))
+    """Context of each question as shortened: what was kept, and size tokens before and after; a text with an invented number is put back."""
+    x = _shortened(spark, d)
+    return x.select("id", "chunk_id", "action", "kept", "parts", X.token_estimate(F.col("body")).alias("before"), X.token_estimate(F.col("text")).alias("after"), "reverted", "text")
 
 
 @R.add()
 def fidelity(spark: SparkSession, d: str) -> DataFrame:
-    """Whether every number of a shortened table occurs in the whole one."""
-    t = table(spark, d, "chunks").where("modality = 'table' and document is not null").select("chunk_id", "document").distinct()
-    rows = F.split("document", "\n")
-    short = F.array_join(F.concat(F.slice(rows, 1, 3), F.filter(F.slice(rows, 4, 1 << 20), lambda x: F.lower(x).rlike("total|revenue|cash"))), "\n")
-    numbers = lambda c: F.regexp_extract_all(c, F.lit(f"({_NUM})"), F.lit(1))
-    return t.select("chunk_id", F.size(numbers(short)).alias("kept"), (F.size(F.array_except(numbers(short), numbers("document"))) == 0).alias("faithful"))
+    """Numbers of each shortened context and whether the whole one has all of them."""
+    x = _shortened(spark, d)
+    return x.select("id", "chunk_id", F.size(V.numbers(F.col("text"))).alias("numbers"), (F.size(Z.invented(F.col("text"), F.col("body"))) == 0).alias("faithful"))
 
 
 @R.add("""with f as (select distinct chunk_id, filing_id, page, line_group from chunks where modality = 'row_fact')

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import chunker as C
 from ..operators import passages as P
 from ..operators import statistics as S
+from ..session import use_shared_folder
 from ..sources.tables import table
 from .registry import Registry
 
@@ -68,7 +70,17 @@ def text_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Prose elements of a block merged into chunks of 120 to 450 size tokens, small ones first into the smaller neighbour."""
+    """Passages of 120 to 450 size tokens: blocks cut at the greatest neighbour distances, small pieces joined to the nearer neighbour, small blocks to the next of their subsection."""
+    use_shared_folder(spark)
+    where = ["filing_id", "section", "subsection"]
+    texts = _blocks(spark, d).where("prose and text is not null").groupBy(*where, "block").agg(F.array_sort(F.collect_list(F.struct("order_no", "element_id", "text"))).alias("x"))
+    measured = C.measure(texts.select(*where, "block", F.array_join("x.text", "\n").alias("text")), [*where, "block"], "text").checkpoint()
+    return C.passages(measured, where, "block", C.threshold_of(measured))
+
+
+@R.add()
+def merged_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Prose elements of a block merged by size alone into passages of 120 to 450 size tokens."""
     rows = _blocks(spark, d).where("prose").select("filing_id", "block", "order_no", "element_id", X.token_estimate(F.col("text")).alias("tokens"))
     return P.merge_blocks(rows, ["filing_id", "block"], ["order_no"], "element_id", "tokens")
 
