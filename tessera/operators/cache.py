@@ -62,6 +62,7 @@ class _Store:
         self.policy, self.capacity, self.ttl = policy, capacity, ttl
         self.rows: OrderedDict[str, list[int]] = OrderedDict()
         self.heap: list[tuple[int, int, str]] = []
+        self.names: list[str] = []
 
     def get(self, key: str, now: int) -> str:
         row = self.rows.get(key)
@@ -85,8 +86,10 @@ class _Store:
                 self.rows.popitem(last=False)
                 continue
             if self.policy == "random":
-                names = sorted(self.rows)
-                del self.rows[names[(seq * 2654435761) % len(names)]]
+                at = (seq * 2654435761) % len(self.names)
+                self.names[at], self.names[-1] = self.names[-1], self.names[at]
+                if self.rows.pop(self.names.pop(), None) is None:
+                    gone -= 1  # it had expired before
                 continue
             while True:
                 a, s, k = heapq.heappop(self.heap)
@@ -97,6 +100,8 @@ class _Store:
         self.rows[key] = [now + self.ttl, 0, seq]
         if self.policy == "lfu":
             heapq.heappush(self.heap, (0, seq, key))
+        elif self.policy == "random":
+            self.names.append(key)
         elif self.policy == "ttl":
             heapq.heappush(self.heap, (now + self.ttl, seq, key))
         return gone

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import compression as Z
 from ..operators import minhash as M
+from ..operators import slots as SL
 from ..operators import verification as V
+from ..operators.formulas import FORMULAS
 from ..session import use_shared_folder
 from ..sources.tables import table
 from .passages import _NUM
@@ -168,7 +170,7 @@ def table_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Printed tables in parts of at most 300 size tokens, each with the header and its number."""
     t = table(spark, d, "chunks").where("modality = 'table' and document is not null").select("chunk_id", "document").distinct()
     lines = F.filter(F.split("document", "\n"), lambda x: F.trim(x) != "")
-    rows = t.select("chunk_id", F.slice(lines, 1, 3).alias("head"), F.slice(lines, 4, 1 << 20).alias("body"))
+    rows = t.select("chunk_id", F.slice(lines, 1, 3).alias("head"), F.slice(lines, 4, F.size(lines)).alias("body"))
     start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"))
     size = lambda a: F.ceil(F.length(F.array_join(a, "\n")) / 4)
 
@@ -194,16 +196,20 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return q.select("id", X.collapse(F.regexp_replace(F.regexp_replace(t, "[-–—/]", " "), r"[^\p{L}\p{N}.%$& ]", " ")).alias("normal"))
 
 
+def _glossary(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of a question as a table: line items of the facts, names of statements, and cues of formulas."""
+    facts = table(spark, d, "chunks").where("modality = 'row_fact'")
+    items = facts.where("line_item is not null").select(F.lit("metric").alias("kind"), F.replace("line_item_norm", F.lit("_"), F.lit(" ")).alias("canonical"), F.lower("line_item").alias("phrase"))
+    names = facts.where("statement <> 'none'").select(F.lit("statement").alias("kind"), F.col("statement").alias("canonical"), F.replace("statement", F.lit("_"), F.lit(" ")).alias("phrase"))
+    cues = spark.createDataFrame([("formula", n, c) for n, f in FORMULAS.items() if not f.generic for c in f.cues], "kind string, canonical string, phrase string")
+    return items.distinct().unionByName(names.distinct()).unionByName(cues)
+
+
 @R.add()
 def slots(spark: SparkSession, d: str) -> DataFrame:
-    """Slots of each question: line item, company, period, direction; a phrase once taken is not read again."""
+    """Slots of each question: periods, line items, formulas, statements, direction and canonical text; what one phrase takes no other reads."""
     q = table(spark, d, "golden").where("question is not null").select("id", "question").distinct()
-    item = F.lower(F.regexp_extract("question", r"(?i)^(?:give|how much was|what was|what were|report|list the drivers of|why did|how did|which factors drove) (.*?) (?:of|for|at|move|change|in) ", 1))
-    rest = F.regexp_replace("question", r"(?i)^.*? (?:of|for|at) ", "")
-    company = F.regexp_extract(rest, r"^((?:[a-z]?[A-Z][\w.]*)(?: [A-Z][\w.]*)*)", 1)
-    direction = F.when(F.lower("question").rlike("fell|decline|decrease"), "down").when(F.lower("question").rlike("rose|grow|increase"), "up").when(F.lower("question").rlike("change|move"), "either").otherwise("none")
-    years = F.array_sort(F.array_distinct(F.regexp_extract_all("question", F.lit("(20[0-9]{2})"), F.lit(1))))
-    return q.select("id", F.nullif(item, F.lit("")).alias("item"), F.nullif(company, F.lit("")).alias("entity"), F.array_join(years, "|").alias("periods"), direction.alias("direction"))
+    return SL.read_slots(q, _glossary(spark, d), calendar=SL.Calendar({y: SL.last_sunday_of_january(y) for y in range(2019, 2029)}))
 
 
 #: Rows that the scorer of popular entries is fitted on at most.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import cache as C
+from ..operators import replay as P
 from ..sources.tables import table
 from .registry import Registry
 
@@ -198,6 +199,34 @@ def cache_replay(spark: SparkSession, d: str) -> DataFrame:
     return by.groupBy("policy", "capacity").agg(*[F.sum(x).alias(x) for x in ("queries", "hits", "misses", "expired", "evictions")])
 
 
+def _questions_log(spark: SparkSession, d: str) -> DataFrame:
+    """Cached questions as a query log: guarded by intent and the years they name, alike by their words."""
+    q = table(spark, d, "cached_answers").where("question is not null and created_at is not null").select("entry_id", "question", "intent", "created_at").distinct()
+    words = F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    years = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("question", F.lit("(20[0-9]{2})"), F.lit(1)))), ",")
+    q = q.withColumn("w", words).withColumn("guard", F.concat_ws("|", F.coalesce("intent", F.lit("")), years))
+    places = F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter("_p", lambda p: p == i)).cast("double"))
+    q = q.withColumn("_p", places).withColumn("_c", counts)
+    q = q.withColumn("_n", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x)))
+    vector = F.when(F.col("_n") > 0, F.transform("_c", lambda x: (x / F.col("_n")).cast("float")))
+    return q.select(
+        F.pmod(F.xxhash64("guard"), F.lit(4)).cast("int").alias("shard"), F.col("created_at").alias("at"), F.xxhash64("entry_id").alias("seq"), F.lower(F.trim("question")).alias("text"),
+        F.array_join(F.array_sort("w"), " ").alias("identity"), "guard", vector.alias("vector"), F.when(years == "", 0.9).otherwise(0.85).alias("least"), F.lit(30 * DAY).cast("long").alias("ttl"),
+    )
+
+
+def replay_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Nine policies at three capacities over the log of cached questions, a cache in four shards."""
+    return P.policy_rates(P.replay_semantic(_questions_log(spark, d), [10, 40, 100]))
+
+
+@R.add()
+def semantic_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the exact and the semantic tier, correct, wrong and stale ones, by policy and capacity."""
+    return replay_rates(spark, d).select("policy", "capacity", *P.COUNTS, *[F.round(f"{x}_rate", 6).alias(f"{x}_rate") for x in ("hit", "correct", "wrong", "stale")])
+
+
 @R.add()
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Requests let through at two an hour and user."""

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import replay as P
 from ..operators import statistics as S
+from ..session import use_shared_folder
 from ..sources.tables import table
+from .cache import replay_rates
 from .registry import Registry
 
 R = Registry()
@@ -142,18 +145,11 @@ def policy_summary(spark: SparkSession, d: str) -> DataFrame:
     return c.groupingSets([[F.col(x) for x in s] for s in sets], "intent", "answer_class", "generator_role").agg(F.count("*").alias("n"), F.sum("hit_count").alias("hits"))
 
 
-@R.add("""with c as (select distinct entry_id, generator_role as arm, intent, hit_count from cached_answers where generator_role is not null),
-r as (select arm, intent, avg(case when hit_count > 0 then 1.0 else 0.0 end) as rate from c group by all),
-p as (select a.arm, a.intent, a.rate - b.rate as gain from r a join r b on a.intent = b.intent and b.arm = 'small' where a.arm <> 'small')
-select arm, sum(case when gain >= 0.005 then 1 else 0 end)::bigint as better, round(max(gain), 6) as best_gain, sum(case when gain >= 0.005 then 1 else 0 end) >= 2 as promoted from p group by arm""")
+@R.add()
 def promotion_rule(spark: SparkSession, d: str) -> DataFrame:
-    """Arms that beat the base arm by half a point for at least two intents."""
-    c = _cached(spark, d, F.col("generator_role").alias("arm"), "intent", "hit_count").where(F.col("arm").isNotNull())
-    rates = c.groupBy("arm", "intent").agg(F.avg((F.col("hit_count") > 0).cast("double")).alias("rate"))
-    base = rates.where("arm = 'small'").select("intent", F.col("rate").alias("base"))
-    gains = rates.where("arm <> 'small'").join(base, "intent").withColumn("gain", F.col("rate") - F.col("base"))
-    better = F.sum((F.col("gain") >= 0.005).cast("long"))
-    return gains.groupBy("arm").agg(better.alias("better"), F.round(F.max("gain"), 6).alias("best_gain"), (better >= 2).alias("promoted"))
+    """Policies whose replay beats the chosen one's rate of correct hits by five points at two capacities."""
+    use_shared_folder(spark)
+    return P.promotion(replay_rates(spark, d).checkpoint(), "lfu_fading").withColumn("best_gain", F.round("best_gain", 6))
 
 
 _SIMS = """sims as (select q.vec_id as query_id, v.vec_id, q.label = v.label as same, list_inner_product(cast(v.embedding as double[]), cast(q.embedding as double[]))
@@ -289,11 +285,13 @@ def config_overlap(spark: SparkSession, d: str) -> DataFrame:
     return names.groupBy("line_item_norm").agg(F.countDistinct("line_item").alias("spellings"), F.countDistinct("line_group").alias("groups_of")).where("groups_of > 1 or spellings > 1")
 
 
-@R.add("""with c as (select distinct corpus_version, chunk_id, document from chunks)
-select corpus_version, count(*) as chunks, substr(sha256(concat_ws('|', corpus_version, cast(count(*) as varchar), min(chunk_id), max(chunk_id), cast(sum(length(document)) as varchar))), 1, 12) as stamp from c group by corpus_version""")
+@R.add("""with c as (select distinct corpus_version, chunk_id, document from chunks), h as (select corpus_version, sha256(coalesce(chunk_id, '') || chr(10) || coalesce(document, '')) as x from c)
+select corpus_version, count(*) as chunks, substr(sha256(concat_ws('|', corpus_version, cast(count(*) as varchar), cast(sum(cast(('0x' || substr(x, 1, 13)) as bigint)) as varchar), cast(sum(cast(('0x' || substr(x, 14, 13)) as bigint)) as varchar))), 1, 12) as stamp from h group by corpus_version""")
 def corpus_version(spark: SparkSession, d: str) -> DataFrame:
-    """A short stamp of the contents of each corpus version."""
+    """A short stamp of the contents of each corpus version: sums of hashes of its chunks, whatever their order; any edit changes it."""
     c = table(spark, d, "chunks").select("corpus_version", "chunk_id", "document").distinct()
-    by = c.groupBy("corpus_version").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("_a"), F.max("chunk_id").alias("_z"), F.sum(F.length("document")).alias("_n"))
-    stamp = F.sha2(F.concat_ws("|", "corpus_version", F.col("chunks").cast("string"), "_a", "_z", F.col("_n").cast("string")), 256)
+    x = F.sha2(F.concat(F.coalesce("chunk_id", F.lit("")), F.lit("\n"), F.coalesce("document", F.lit(""))), 256)
+    parts = [F.sum(F.conv(F.substring("_x", a, 13), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"_{a}") for a in (1, 14)]
+    by = c.select("corpus_version", x.alias("_x")).groupBy("corpus_version").agg(F.count("*").alias("chunks"), *parts)
+    stamp = F.sha2(F.concat_ws("|", "corpus_version", F.col("chunks").cast("string"), "_1", "_14"), 256)
     return by.select("corpus_version", "chunks", F.substring(stamp, 1, 12).alias("stamp"))

@@ -100,13 +100,6 @@ def calc_working(spark: SparkSession, d: str) -> DataFrame:
     return r.select("filing_id", "fy", "formula", "statement", "metric", "shown", F.array_join("lines", "\n").alias("working"), F.transform("inputs", lambda i: i["chunk_id"]).alias("sources"))
 
 
-@R.add(r"""with q as (select distinct id, lower(question) as t from golden where question is not null), c(formula, generic, cue) as (values """ + ", ".join(f"('{n}', {str(f.generic).lower()}, '{c}')" for n, f in CALC.FORMULAS.items() for c in f.cues) + """),
-h as (select distinct id, formula, generic from q join c on contains(t, cue)), n as (select id, bool_or(not generic) as named from h group by id) select h.id, h.formula from h join n using (id) where h.generic <> n.named""")
-def formula_cues(spark: SparkSession, d: str) -> DataFrame:
-    """The formulas that each question asks for."""
-    return CALC.select_formulas(table(spark, d, "golden").select("id", "question").distinct())
-
-
 _PRINTED = r"""printed as (select chunk_id, [case regexp_extract(document, '(\S+) \(FY' || y || '\)', 1) when '' then 'none' else regexp_extract(document, '(\S+) \(FY' || y || '\)', 1) end for y in [2026, 2025, 2024]] as t from f),
 amounts as (select chunk_id, t, [try_cast(replace(x, ',', '') as double) for x in t] as theirs from printed)"""
 
@@ -191,14 +184,15 @@ def fiscal_year_join(spark: SparkSession, d: str) -> DataFrame:
 @R.add("""with n as (select distinct lower(line_item) as item from chunks where modality = 'row_fact' and line_item is not null), q as (select distinct id, lower(question) as q from golden),
 m as (select id, item, row_number() over (partition by id order by length(item) desc, item) as k from q join n on contains(q, item)) select id, item from m where k = 1""")
 def longest_match(spark: SparkSession, d: str) -> DataFrame:
-    """The longest line item named in each question: its runs of up to eight words joined with the names."""
+    """The longest line item named in each question: its runs of as many words as the longest name has, joined with the names."""
     def words(c):
         return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
 
     names = table(spark, d, "chunks").where("modality = 'row_fact' and line_item is not null").select(F.lower("line_item").alias("item")).distinct()
     names = names.select("item", F.array_join(words("item"), " ").alias("run"))
     asked = table(spark, d, "golden").select("id", words("question").alias("w")).distinct().where(F.size("w") > 0)
-    runs = asked.select("id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("a")).select("id", "w", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(8), F.size("w") - F.col("a") + 1))).alias("n"))
+    longest = F.broadcast(names.agg(F.coalesce(F.max(F.size(F.split("run", " "))), F.lit(1)).alias("most")))  # one row
+    runs = asked.crossJoin(longest).select("id", "w", "most", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("a")).select("id", "w", "a", F.explode(F.sequence(F.lit(1), F.least("most", F.size("w") - F.col("a") + 1))).alias("n"))
     found = runs.select("id", F.array_join(F.slice("w", F.col("a"), F.col("n")), " ").alias("run")).distinct().join(names, "run")
     best = found.groupBy("id").agg(F.min(F.struct((-F.length("item")).alias("_l"), "item")).alias("b"))
     return best.select("id", F.col("b.item").alias("item"))

@@ -182,7 +182,7 @@ def pack_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of printed tables packed in order into parts of 300 size tokens, each with the header again."""
     t = table(spark, d, "chunks").where("modality = 'table' and document is not null").select("chunk_id", "document").distinct()
     lines = F.filter(F.split("document", "\n"), lambda x: F.trim(x) != "")
-    rows = t.select("chunk_id", F.slice(lines, 1, 3).alias("head"), F.slice(lines, 4, 1 << 20).alias("body"))
+    rows = t.select("chunk_id", F.slice(lines, 1, 3).alias("head"), F.slice(lines, 4, F.size(lines)).alias("body"))
     base = F.aggregate("head", F.lit(0), lambda s, x: s + F.ceil(F.length(x) / 4).cast("int"))
     start = F.struct(F.lit(0).alias("part"), base.alias("used"), F.array().cast("array<int>").alias("parts"))
 

@@ -74,11 +74,11 @@ def _sparse(spark: SparkSession, d: str, posts: DataFrame) -> DataFrame:
     return R.bm25(posts, R.lengths(posts, docs, "doc_id"), _query_terms(spark, d), "doc_id")
 
 
-def _dense(spark: SparkSession, d: str, posts: DataFrame) -> DataFrame:
-    """Cosine of hashed term vectors: a deterministic stand-in for an embedding model."""
-    vectors = V.hashed_terms(posts, "doc_id")
-    asked = V.hashed_terms(_query_terms(spark, d).withColumnRenamed("qtf", "tf"), "query_id").withColumnRenamed("weight", "_w")
-    return vectors.join(asked, "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+def _dense(spark: SparkSession, d: str, posts: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
+    """The k best texts of each question, of all or of ``only``, by cosine of hashed term vectors: a deterministic stand-in for an embedding model."""
+    vectors = V.packed_terms(posts if only is None else posts.join(only, "doc_id", "left_semi"), "doc_id")
+    asked = V.packed_terms(_query_terms(spark, d).withColumnRenamed("qtf", "tf"), "query_id").withColumnRenamed("query_id", "doc_id")
+    return V.exact_topk(spark, vectors, asked, k, "doc_id", "v", V.sparse_matrix(256), digits=9).where(F.col("score") > 0)
 
 
 def finance_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     posts = _index(spark, d)
-    lists = R.ranked(_sparse(spark, d, posts), "doc_id", POOL).unionByName(R.ranked(_dense(spark, d, posts), "doc_id", POOL))
+    lists = R.ranked(_sparse(spark, d, posts), "doc_id", POOL).unionByName(_dense(spark, d, posts, POOL))
     return R.rrf(lists, "doc_id").select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "n_lists", "best_rank")
 
 
@@ -112,11 +112,11 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """Fused pool of both retrievers; queries whose filter leaves under three results run without it."""
     docs = _documents(spark, d)
     rare = docs.where(R.where({"$and": [{"lang": {"$in": ["de", "fr"]}}, {"source": "bulletin"}]})).select("doc_id")
-    # Both score tables are read several times; they are written once to the shared folder.
+    # The lexical scores are read several times; they are written once to the shared folder.
     posts = _index(spark, d)
-    sparse, dense = _sparse(spark, d, posts).checkpoint(), _dense(spark, d, posts).checkpoint()
+    sparse = _sparse(spark, d, posts).checkpoint()
     # Dense filters before taking k; sparse takes four times k and filters then.
-    dense_lists = R.with_retry(R.ranked(dense.join(rare, "doc_id", "left_semi"), "doc_id", POOL), R.ranked(dense, "doc_id", POOL), "doc_id")
+    dense_lists = R.with_retry(_dense(spark, d, posts, POOL, only=rare), _dense(spark, d, posts, POOL), "doc_id")
     wide = R.ranked(sparse, "doc_id", 4 * POOL).join(rare, "doc_id", "left_semi").drop("rank")
     sparse_lists = R.with_retry(R.ranked(wide, "doc_id", POOL), R.ranked(sparse, "doc_id", POOL), "doc_id")
     both = dense_lists.withColumn("side", F.lit("dense")).unionByName(sparse_lists.withColumn("side", F.lit("bm25")))
@@ -195,7 +195,7 @@ def expand_parents(spark: SparkSession, d: str) -> DataFrame:
 def _pool(spark: SparkSession, d: str) -> DataFrame:
     posts = _index(spark, d)
     sparse = R.ranked(_sparse(spark, d, posts), "doc_id", POOL).select("query_id", "doc_id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"))
-    dense = R.ranked(_dense(spark, d, posts), "doc_id", POOL).select("query_id", "doc_id", F.col("rank").alias("dense_rank"))
+    dense = _dense(spark, d, posts, POOL).select("query_id", "doc_id", F.col("rank").alias("dense_rank"))
     both = sparse.join(dense, ["query_id", "doc_id"], "full")
     gain = F.coalesce(1 / (R.RRF_K + F.col("bm25_rank")), F.lit(0.0)) + F.coalesce(1 / (R.RRF_K + F.col("dense_rank")), F.lit(0.0))
     pool = both.withColumn("rrf", gain)

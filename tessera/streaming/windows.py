@@ -65,10 +65,11 @@ def upsert_to(path: str, key: str, version: str):
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = f"{path}/v{number - 1}"
-        try:
-            known = spark.read.parquet(old).unionByName(batch)
-        except Exception:  # the first batch finds no version before it
-            known = batch
+        jvm = spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(old)
+        # Only the first batch finds no version before it; any other failure to read must end the query.
+        there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+        known = spark.read.parquet(old).unionByName(batch) if there else batch
         columns = [c for c in known.columns if c != key]
         newest = known.groupBy(key).agg(F.max_by(F.struct(*columns), version).alias("r"))
         newest.select(key, "r.*").write.mode("overwrite").parquet(f"{path}/v{number}")

@@ -9,18 +9,24 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
+#: The smallest tables have no question whose number is divisible by 100, and too little for some others.
+LARGER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
-@pytest.fixture(scope="module")
-def duck():
+def opened(folder):
     con = duckdb.connect()
-    for f in os.listdir(FOLDER):
-        con.execute(f"create view {f[:-8]} as select * from '{FOLDER}/{f}'")
+    for f in os.listdir(folder):
+        con.execute(f"create view {f[:-8]} as select * from '{folder}/{f}'")
     return con
 
 
+@pytest.fixture(scope="module")
+def ducks():
+    return {folder: opened(folder) for folder in (FOLDER, LARGER)}
+
+
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
@@ -35,24 +41,34 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
-def test_query_matches_sql(spark, duck, name):
-    df = QUERIES[name](spark, FOLDER)
+def both(spark, duck, name, folder):
+    df = QUERIES[name](spark, folder)
     columns = sorted(df.columns)
     mine = ordered(tuple(plain(r[c]) for c in columns) for r in df.collect())
     result = duck.execute(ORACLE[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
-    theirs = ordered(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
-    assert mine == theirs
+    return mine, ordered(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, ducks, name):
+    mine, theirs = both(spark, ducks[FOLDER], name, FOLDER)
+    if not mine and not theirs:  # empty against empty proves nothing
+        mine, theirs = both(spark, ducks[LARGER], name, LARGER)
+    assert mine and mine == theirs
+
+
+#: Queries that may find nothing in these tables.
+MAY_BE_EMPTY = {"p4_review"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs_and_has_distinct_rows(spark, name):
     df = QUERIES[name](spark, FOLDER)
-    rows = [str(r) for r in df.collect()]
-    assert df.columns and len(rows) == len(set(rows))
+    rows = [str(r) for r in df.collect()] or [str(r) for r in QUERIES[name](spark, LARGER).collect()]
+    assert df.columns and len(rows) == len(set(rows)) and (rows or name in MAY_BE_EMPTY)
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["query_id", "doc_id", "score", "rank"]
+    assert entry.entry(spark).columns == ["query_id", "vec_id", "score", "rank"] and entry.entry(spark).count() > 0
