@@ -131,7 +131,8 @@ def neighbour_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"with {_DIST} select round(quantile_cont(distance, 0.95), 6) as threshold, count(*) as n from dist")
 def split_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _distances(spark, d).agg(F.round(F.percentile("distance", 0.95), 6).alias("threshold"), F.count("*").alias("n"))
+    """The distance below which 95 per cent of all neighbours lie, interpolated."""
+    return S.interpolated_percentile(_distances(spark, d), "distance", 0.95).select(F.round("percentile", 6).alias("threshold"), F.col("n_values").alias("n"))
 
 
 @R.add(f"""with {_DIST}, s as (select vec_id, label, case when round(distance, 9) > 1.05 then 1 else 0 end as cut from dist),

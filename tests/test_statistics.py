@@ -35,3 +35,15 @@ def test_bootstrap_is_repeatable_and_near_the_mean(spark):
     df = spark.createDataFrame([(i, float(i % 2)) for i in range(400)], "id long, v double")
     a, b = ([r["mean"] for r in S.bootstrap(df, "id", "v", draws=40).orderBy("draw").collect()] for _ in range(2))
     assert a == b and 0.45 < sum(a) / len(a) < 0.55 and len(set(a)) > 10
+
+
+def test_interpolated_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for values in ([5.0], [1.0, 2.0], [3.0] * 9, list(rng.normal(size=501)), list(rng.exponential(size=300)) + [0.0] * 200):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        for share in (0.0, 0.37, 0.5, 0.95, 1.0):
+            r = S.interpolated_percentile(df, "x", share, slices=16).first()
+            assert abs(r["percentile"] - np.quantile(values, share)) < 1e-9 and r["n_values"] == len(values)
+    assert tuple(S.interpolated_percentile(spark.createDataFrame([], "x double"), "x", 0.5).first()) == (None, 0)
