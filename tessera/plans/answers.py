@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -107,19 +107,37 @@ def parts_answered(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("id").agg(F.count("*").alias("parts"), F.sum(F.coalesce("given", F.lit(False)).cast("long")).alias("answered"), F.array_sort(F.collect_set(F.when(~F.coalesce("given", F.lit(False)), F.col("line_item")))).alias("left_out"))
 
 
-def _shortened(spark: SparkSession, d: str) -> DataFrame:
-    """Context of each question, shortened: the tables of its facts by rows, the texts on their pages by sentences."""
+#: A sentence stays in a shortened text if it has this share of the words of the question.
+LEAST_SCORE = 0.25
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({_TOKENS})"), F.lit(0)))
+
+
+def _sentences(body: Column) -> Column:
+    return F.filter(F.split(body, r"(?<=[.!?])\s+|(?<=[。！？])|\n+"), lambda x: F.trim(x) != "")
+
+
+def _context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Labels that each question asks of a printed table, the tables, the pages of each question, and their texts."""
     facts = _supports(spark, d).select("id", "question", "filing_id", "page", "parent_id", "line_item").distinct()
     chunks = table(spark, d, "chunks").where("document is not null").select("chunk_id", "modality", "filing_id", "page", "parent_id", "document").distinct()
     labels = facts.where("parent_id is not null").groupBy("id", "parent_id").agg(F.collect_set("line_item").alias("labels"))
-    tables = labels.join(chunks.where("modality = 'table'").select("chunk_id", "parent_id", F.col("document").alias("body")), "parent_id")
-    tables = tables.withColumn("r", Z.row_select(F.col("body"), F.col("labels"))).select("id", "chunk_id", F.lit("row_select").alias("action"), "body", F.col("r.text").alias("short"), F.col("r.kept").alias("kept"), F.col("r.rows").alias("parts"))
+    tables = chunks.where("modality = 'table'").select("chunk_id", "parent_id", F.col("document").alias("body"))
     pages = facts.select("id", "question", "filing_id", "page").distinct()
-    texts = pages.join(chunks.where("modality = 'text'").select("chunk_id", "filing_id", "page", F.expr("substring(document, instr(document, '\n') + 1)").alias("body")), ["filing_id", "page"])
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({_TOKENS})"), F.lit(0)))
-    texts = texts.withColumn("s", F.filter(F.split("body", r"(?<=[.!?])\s+|(?<=[。！？])|\n+"), lambda x: F.trim(x) != "")).withColumn("q", words(F.col("question")))
-    texts = texts.withColumn("scores", F.transform("s", lambda x: F.size(F.array_intersect(words(x), "q")) / F.greatest(F.size("q"), F.lit(1))))
-    texts = texts.withColumn("i", Z.select_sentences(F.col("scores"), 0.25))
+    return labels, tables, pages, chunks.where("modality = 'text'").select("chunk_id", "filing_id", "page", F.expr("substring(document, instr(document, '\n') + 1)").alias("body"))
+
+
+def _shortened(spark: SparkSession, d: str) -> DataFrame:
+    """Context of each question, shortened: the tables of its facts by rows, the texts on their pages by sentences."""
+    labels, tables, pages, texts = _context(spark, d)
+    tables = labels.join(tables, "parent_id")
+    tables = tables.withColumn("r", Z.row_select(F.col("body"), F.col("labels"))).select("id", "chunk_id", F.lit("row_select").alias("action"), "body", F.col("r.text").alias("short"), F.col("r.kept").alias("kept"), F.col("r.rows").alias("parts"))
+    texts = pages.join(texts, ["filing_id", "page"])
+    texts = texts.withColumn("s", _sentences(F.col("body"))).withColumn("q", _words(F.col("question")))
+    texts = texts.withColumn("scores", F.transform("s", lambda x: F.size(F.array_intersect(_words(x), "q")) / F.greatest(F.size("q"), F.lit(1))))
+    texts = texts.withColumn("i", Z.select_sentences(F.col("scores"), LEAST_SCORE))
     texts = texts.select("id", "chunk_id", F.lit("extract").alias("action"), "body", Z.join_sentences(F.col("s"), F.col("i")).alias("short"), F.size("i").alias("kept"), F.size("s").alias("parts"))
     out = tables.unionByName(texts).withColumn("g", Z.guarded(F.col("short"), F.col("body")))
     return out.select("id", "chunk_id", "action", "body", F.col("g.text").alias("text"), F.col("g.reverted").alias("reverted"), "kept", "parts")
@@ -132,11 +150,25 @@ def compress_apply(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "chunk_id", "action", "kept", "parts", X.token_estimate(F.col("body")).alias("before"), X.token_estimate(F.col("text")).alias("after"), "reverted", "text")
 
 
+def _asked(chunks: DataFrame, by: DataFrame, on: list[str]) -> DataFrame:
+    """The chunks that some question meets, so that no other is read closely."""
+    return chunks.join(by.select(*on).distinct().hint("merge"), on, "left_semi")
+
+
 @R.add()
 def fidelity(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of each shortened context and whether the whole one has all of them."""
-    x = _shortened(spark, d)
-    return x.select("id", "chunk_id", F.size(V.numbers(F.col("text"))).alias("numbers"), (F.size(Z.invented(F.col("text"), F.col("body"))) == 0).alias("faithful"))
+    """Numbers of each shortened context and whether the whole one has all of them.
+
+    Pairs of questions and chunks grow faster than either, so bodies are read once, before they meet questions.
+    """
+    labels, tables, pages, texts = _context(spark, d)
+    labels = labels.select("id", "parent_id", Z.wanted_labels(F.col("labels")).alias("wanted"))
+    tables = _asked(tables, labels, ["parent_id"]).select("chunk_id", "parent_id", Z.table_figures(F.col("body")).alias("figures"))
+    tables = tables.join(labels.hint("merge"), "parent_id").select("id", "chunk_id", Z.table_fidelity(F.col("figures"), F.col("wanted")).alias("x"))
+    pages = pages.select("id", "filing_id", "page", _words(F.col("question")).alias("asked"))
+    texts = _asked(texts, pages, ["filing_id", "page"]).select("chunk_id", "filing_id", "page", Z.sentence_figures(_sentences(F.col("body")), F.col("body"), _words).alias("figures"))
+    texts = texts.join(pages.hint("merge"), ["filing_id", "page"]).select("id", "chunk_id", Z.sentence_fidelity(F.col("figures"), F.col("asked"), LEAST_SCORE).alias("x"))
+    return tables.unionByName(texts).select("id", "chunk_id", "x.numbers", "x.faithful")
 
 
 @R.add("""with f as (select distinct chunk_id, filing_id, page, line_group from chunks where modality = 'row_fact')
