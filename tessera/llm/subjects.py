@@ -6,9 +6,9 @@ scripts without case, foreign names left out); terms of templates are weighed by
 far the trusted seeds' sentences that hold them lean to one subject, and the terms
 that lean surely are the template's *core*.  Two documents are linked where they hold
 sentences of one core (similarity 1) or of two cores whose weighted Jaccard similarity
-is at least ``SIMILARITY``: a core is compared with the representative of each of its
-terms, the most frequent core that has the term, and every link is verified on the
-whole cores.  So links are as many as the terms of all cores, never all pairs.
+is at least ``SIMILARITY``: every pair of cores that have a term in common is compared,
+on the whole cores, block by block.  So links are all that meet the threshold, and they
+may grow as the square of the cores.
 
 Subjects spread over this graph in ``ROUNDS`` rounds of joins, from documents to cores,
 along the links, and back.  Trusted seeds are clamped throughout: their mixture holds
@@ -28,6 +28,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,10 @@ LEAST_SHARE = 0.25
 ROUNDS = 5
 #: Least weighted Jaccard similarity of two linked cores.
 SIMILARITY = 0.4
+#: Cores of a block; two blocks are compared in one group, whose links are 16 million at most.
+BLOCK = 4096
+#: Cores of a block that are compared with another block at once.
+AT_ONCE = 64
 #: Weight of the label itself, against "none", in a seed's sentence before anything else is known.
 FIRST_WEIGHT = 0.7
 #: Weight of a sentence of a document without a trusted label, against one with.
@@ -200,8 +205,58 @@ def _cores(edges: DataFrame, templates: DataFrame, seeds: DataFrame, k: int, scr
     return held_by.select("t", "c"), scratch.keep(cores, "cores")
 
 
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b, similarity) between the two blocks of a group, or within one block, each once."""
+    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    out = {"a": [], "b": [], "similarity": []}
+    if len(left) and len(right):
+        flat = lambda side, name: np.concatenate(side[name].to_numpy())
+        owner = lambda side: np.repeat(np.arange(len(side)), side["fs"].str.len())
+        total = lambda side: np.bincount(owner(side), weights=flat(side, "ws"), minlength=len(side))
+        ids, whole, by = [x["c"].to_numpy() for x in (left, right)], [total(left), total(right)], flat(right, "fs")
+        order = np.argsort(by, kind="stable")
+        holders, (known, start, many) = owner(right)[order], np.unique(by[order], return_index=True, return_counts=True)
+        terms, weights, of = flat(left, "fs"), flat(left, "ws"), owner(left)
+        place = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+        met = np.flatnonzero(known[place] == terms)
+        place, weights, of = place[met], weights[met], of[met]
+        n = len(right)
+        for low in range(0, len(left), AT_ONCE):
+            high = min(low + AT_ONCE, len(left))
+            p, q = np.searchsorted(of, [low, high])
+            times = many[place[p:q]]
+            row = np.repeat(np.arange(p, q), times)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            cell = (of[row] - low) * n + holders[start[place[row]] + step]
+            common = np.bincount(cell, weights=weights[row], minlength=(high - low) * n).reshape(high - low, n)
+            union = whole[0][low:high, None] + whole[1] - common
+            # A sum of weights may fall short of the threshold by its rounding alone.
+            i, j = np.nonzero((common > 0) & (common >= (SIMILARITY - 1e-12) * union))
+            a, b = ids[0][low + i], ids[1][j]
+            once = (a < b) if pdf["p"].iloc[0] == pdf["q"].iloc[0] else slice(None)
+            for name, x in (("a", a), ("b", b), ("similarity", common[i, j] / union[i, j])):
+                out[name].append(x[once])
+    return pd.DataFrame({k: np.concatenate(v) if v else np.array([], dtype="float64" if k == "similarity" else "int64") for k, v in out.items()})
+
+
+def core_links(cores: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b, similarity) of different cores with a similarity of at least ``SIMILARITY``, each pair once.
+
+    ``cores(c, fs, ws)`` are sets of terms with weights, a weight belonging to its term;
+    they are counted, so they should be a written table.  Blocks of about ``block`` cores
+    meet each other once, so a core is sent as often as there are blocks, and no term of
+    very many cores is a hot group.
+    """
+    blocks = max(-(-cores.count() // block), 1)
+    placed = cores.select("c", "fs", "ws", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("own")).where(F.size("fs") > 0)
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = placed.select("c", "fs", "ws", F.lit(0).alias("side"), F.col("own").alias("p"), F.explode(F.filter(every, lambda x: x >= F.col("own"))).alias("q"))
+    right = placed.select("c", "fs", "ws", F.lit(1).alias("side"), F.explode(F.filter(every, lambda x: x <= F.col("own"))).alias("p"), F.col("own").alias("q"))
+    return left.unionByName(right).groupBy("p", "q").applyInPandas(_block_links, "a long, b long, similarity double")
+
+
 def similar_cores(cores: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) of each core with the most frequent core of each of its terms.
+    """Verified links (a, b, similarity) of each core with the most frequent core of each of its terms: a part of ``core_links``.
 
     ``cores(c, fs, ws, n)`` are sets of terms with weights.  The representative of a term
     is one row, found by a partial maximum, so a term of very many cores is no hot group of pairs.
@@ -217,13 +272,15 @@ def similar_cores(cores: DataFrame) -> DataFrame:
     return both.select("a", "b", (common / union).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
 
 
-def _grown(cores: DataFrame, weights: DataFrame, links: DataFrame, rest: DataFrame, k: int) -> DataFrame:
+def _grown(cores: DataFrame, weights: DataFrame, links: DataFrame, rest: DataFrame, k: int, by_core: str) -> DataFrame:
     """``c, l``: how likely each class is in a sentence of the core, against its share of the language.
 
     What a core holds is what the texts that hold it gave it, and what its links hold, by their similarity.
     """
     zero = F.array_repeat(F.lit(0.0), k)
-    far = links.join(weights.select(F.col("c").alias("b"), "w").hint("merge"), "b").groupBy(F.col("a").alias("c")).agg(_vsum(_scaled("w", F.col("similarity")), k).alias("far"))
+    # A core has many links, so they stay where they are if its weights can come to them, and no array is made for each.
+    near = links.join(weights.select(F.col("c").alias("b"), "w").hint(by_core), "b").groupBy(F.col("a").alias("c"))
+    far = near.agg(F.array(*[F.sum(F.get("w", F.lit(i)) * F.col("similarity")) for i in range(k)]).alias("far"))
     own = cores.select("c", "lang", "e").join(weights.hint("merge"), "c", "left").withColumn("w", F.coalesce("w", zero))
     shares = F.broadcast(_shares(own.select("lang", "w").unionByName(rest), k))  # ten rows
     both = own.join(far.hint("merge"), "c", "left").join(shares, "lang").withColumn("held", F.zip_with("w", F.coalesce("far", zero), lambda x, y: x + y))
@@ -250,8 +307,8 @@ def propagate(spark: SparkSession, documents: DataFrame, labels: DataFrame, subj
         scratch.clear()
         return spark.createDataFrame([], "doc_id long, subject string, share double")
     core_of, cores = _cores(edges, templates, seeds, k, scratch)
-    found = scratch.keep(similar_cores(cores), "links")
-    links = found.union(found.select("b", "a", "similarity")).distinct()
+    found = scratch.keep(core_links(cores), "links")
+    links = found.union(found.select("b", "a", "similarity"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = scratch.keep(hub_join(edges.select("h", "t", "n"), core_of, "t").groupBy("h", "c").agg(F.sum("n").alias("n")), "placed").repartition(parts, "h").persist()
@@ -266,7 +323,7 @@ def propagate(spark: SparkSession, documents: DataFrame, labels: DataFrame, subj
     joint = placed.join(texts.where("named is not null").select("h", "first"), "h").select("c", "n", F.lit(1.0).alias("u"), F.col("first").alias("q"))
     for number in range(rounds + 1):
         weights = scratch.keep(joint.groupBy("c").agg(_vsum(_scaled("q", F.col("n") * F.col("u")), k).alias("w")), f"weights{number}")
-        lifts = scratch.keep(_grown(cores, weights, links, rest, k), f"lifts{number}")
+        lifts = scratch.keep(_grown(cores, weights, links, rest, k, by_core), f"lifts{number}")
         scored = placed.join(lifts.hint(by_core), "c")
         seen = scored.withColumn("z", _total("l")).groupBy("h").agg(_vsum(_scaled("l", F.col("n") / F.col("z")), k).alias("p"))
         mixture = texts.where("cored is not null").join(seen, "h")
